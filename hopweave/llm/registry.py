@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import harmonic_pack, simhash_bk, token_counts, token_output
+from . import bpe_replay, harmonic_pack, secret_scan, simhash_bk, token_counts, token_output
 from .common import new_path
 
 
@@ -20,6 +20,14 @@ def op1_rans_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(_table(spark, sf_dir, "documents"), new_path(spark, "token-file"), path, end_id=0)
 
 
+def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op6_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_replay.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return harmonic_pack.pack(_table(spark, sf_dir, "documents"), path, end_id=1, capacity=2048).drop("ids")
@@ -38,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_trigram_secrets": secret_scan.oracle_sql()}
