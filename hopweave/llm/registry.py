@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, harmonic_pack, secret_scan, simhash_bk, token_counts, token_output
+from . import bpe_replay, harmonic_pack, quality_crf, secret_scan, simhash_bk, token_counts, token_output
 from .common import new_path
 
 
@@ -24,6 +24,10 @@ def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("content_share")
+
+
 def op6_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
 
