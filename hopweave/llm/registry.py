@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, harmonic_pack, quality_crf, secret_scan, simhash_bk, token_counts, token_output
+from . import bpe_replay, harmonic_pack, langid, quality_crf, secret_scan, simhash_bk, token_counts, token_output
 from .common import new_path
 
 
@@ -45,6 +45,10 @@ def op9_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_marginal_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
