@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hopweave.llm import common, simhash_bk
+from hopweave.llm import common, harmonic_pack, quality_crf, secret_scan, simhash_bk, suffix_dedup
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the line labels reject go."""
+    return quality_crf.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
     return simhash_bk.one_per_component(docs)
 
 
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings that also stand elsewhere go from the texts."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked."""
+    return secret_scan.redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in sequences of 2048."""
+    return harmonic_pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
 STAGES = [
-    ("simhash_near_dedup", near_dedup),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("secret_scans", secret_scans),
+    ("packing", packing),
 ]
 
-#: BK-trees, the suffix merge and the fitted sequence model have no SQL form.
+#: BK-trees, the suffix merge, the fitted sequence model and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 

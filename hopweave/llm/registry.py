@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, harmonic_pack, langid, quality_crf, rp_forest, secret_scan, simhash_bk, token_counts, token_output
+from . import bpe_replay, harmonic_pack, langid, quality_crf, rp_forest, secret_scan, simhash_bk, suffix_dedup, token_counts, token_output
 from .common import new_path
 
 
@@ -20,6 +20,10 @@ def op1_rans_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(_table(spark, sf_dir, "documents"), new_path(spark, "token-file"), path, end_id=0)
 
 
+def op2_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
