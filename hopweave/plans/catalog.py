@@ -818,7 +818,7 @@ def hop_reachability(spark, sf):
 @query()
 def hop_deficit_edges(spark, sf):
     base, _, _, g = _loaded(spark, sf)
-    return refine.local_edges(g, _asked(base), refine.settings_for("nsg", ef_max=200))
+    return refine.local_edges(g, _asked(base), refine.settings_for("nsg", ef_max=200, jump_max=2))
 
 
 @query()
