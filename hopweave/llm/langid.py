@@ -15,12 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import keyed, shuffle_width, written
 from .token_counts import chunks
 
-#: Labelled documents of a language to learn from at most, chosen by a hash of their id.
+#: Labelled documents of a language to learn from, about: those whose id's hash falls below SAMPLE / their number.
 SAMPLE = 3000
 ROUNDS = 3
 #: Letter runs are scored in stretches of so many letters.
@@ -160,8 +159,12 @@ def learn(docs: DataFrame, pieces: list[str]) -> tuple[list[str], np.ndarray]:
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = own.where("doc_id is not null and text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    ranked = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    sample = usable.join(ranked.where(F.col("r") <= SAMPLE).select("doc_id", "lang").distinct(), ["doc_id", "lang"])
+    # languages are few (the model has a column for each): what is kept of one follows from its count
+    held = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not held:
+        return [], np.zeros((len(pieces) + 2, 0))
+    least = F.create_map(*[F.lit(x) for k, n in held.items() for x in (k, int(min(1.0, SAMPLE / n) * (1 << 32)))])
+    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.element_at(least, F.col("lang")))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,9 +175,7 @@ def learn(docs: DataFrame, pieces: list[str]) -> tuple[list[str], np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
     words = written(sample.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
-    languages = [r.lang for r in words.select("lang").distinct().orderBy("lang").collect()]
-    if not languages:
-        return [], np.zeros((len(pieces) + 2, 0))
+    languages = sorted(held)
     lattice, place = Lattice(pieces), {x: i for i, x in enumerate(languages)}
     prob = np.full((len(pieces) + 2, len(languages)), 1 / (len(pieces) + 1))
     prob[-1] = 0
