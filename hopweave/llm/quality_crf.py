@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, small_batches
 
 #: Labelled documents that the field is fitted on at most, chosen by a hash of their id.
 SAMPLE = 1000
@@ -199,6 +199,7 @@ def quality(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns."""
+    small_batches(docs.sparkSession)
     weights = fitted(docs, labels)
 
     @F.pandas_udf("boolean")

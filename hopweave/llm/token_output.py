@@ -22,8 +22,8 @@ from .pretok import library_encoder
 #: Frequencies sum to 2**PRECISION; states stay in [2**31, 2**63).
 PRECISION = 20
 LOW = np.uint64(1 << 31)
-BLOCK_IDS = 1 << 18
-LANES = 1024
+BLOCK_IDS = 1 << 20
+LANES = 4096
 #: Steps (of one id for each lane) between checkpoints.
 CHECKPOINT_STEPS = 128
 
@@ -32,13 +32,14 @@ class Coder:
     def __init__(self, ids: np.ndarray, freq: np.ndarray):
         """ids: ascending; freq: of each, summing to 2**PRECISION."""
         size = int(ids[-1]) + 1 if len(ids) else 0
-        self.freq = np.zeros(size, np.uint64)
-        self.freq[ids] = freq
-        self.cum = np.concatenate(([0], np.cumsum(self.freq)[:-1])).astype(np.uint64) if size else self.freq
-        self.symbol = np.repeat(ids.astype(np.uint32), freq.astype(np.int64))
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        # of each id: frequency in the upper half, sum of those before in the lower; one look-up gives both
+        self.slots = np.zeros(size, np.uint64)
+        self.slots[ids] = freq.astype(np.uint64) << np.uint64(32) | (np.cumsum(freq) - freq).astype(np.uint64)
+        self.symbol = np.repeat(ids.astype(self.kind), freq.astype(np.int64))
 
     def encode(self, ids: np.ndarray) -> dict:
-        n = len(ids)
+        n, ids = len(ids), np.asarray(ids, self.kind)
         lanes = max(1, min(LANES, n // 64))
         steps = -(-n // lanes)
         x = np.full(lanes, LOW, np.uint64)
@@ -47,18 +48,19 @@ class Coder:
         count, low32, shift, up = 0, np.uint64(0xFFFFFFFF), np.uint64(63 - PRECISION), np.uint64(PRECISION)
         for t in range(steps - 1, -1, -1):
             s = ids[t * lanes : (t + 1) * lanes]
-            f, now = self.freq[s], x[: len(s)]
+            slot, now = self.slots[s], x[: len(s)]
+            f = slot >> np.uint64(32)
             full = np.flatnonzero(now >= f << shift)
             words.append((now[full] & low32).astype(np.uint32))
             count += len(full)
             now[full] >>= np.uint64(32)
             q = now // f
-            x[: len(s)] = (q << up) + (now - q * f) + self.cum[s]
+            x[: len(s)] = (q << up) + (now - q * f) + (slot & low32)
             if t and t % CHECKPOINT_STEPS == 0:
                 marks.append((t, count, x.astype("<u8").tobytes()))
         stream = np.concatenate(words[::-1]).astype("<u4") if words else np.zeros(0, "<u4")
         marks = [(0, count, x.astype("<u8").tobytes()), *marks[::-1]]
-        return {"n_ids": n, "lanes": lanes, "stream": stream.tobytes(), "mark_step": [m[0] for m in marks], "mark_word": [count - m[1] for m in marks], "mark_states": b"".join(m[2] for m in marks), "crc32": zlib.crc32(np.asarray(ids, "<u4").tobytes())}
+        return {"n_ids": n, "lanes": lanes, "stream": stream.tobytes(), "mark_step": [m[0] for m in marks], "mark_word": [count - m[1] for m in marks], "mark_states": b"".join(m[2] for m in marks), "crc32": zlib.crc32(ids)}
 
     def decode(self, b: dict, first: int = 0, last: int | None = None) -> np.ndarray:
         """Ids of the block's checkpoints first..last-1 (all by default)."""
@@ -68,14 +70,15 @@ class Coder:
         begin, at = b["mark_step"][first], b["mark_word"][first]
         x = np.frombuffer(b["mark_states"], "<u8", lanes, first * lanes * 8).astype(np.uint64)
         stream = np.frombuffer(b["stream"], "<u4")
-        mask, up = np.uint64((1 << PRECISION) - 1), np.uint64(PRECISION)
-        out = np.empty(max(0, min(n, end * lanes) - begin * lanes), np.uint32)
+        mask, up, low32 = np.uint64((1 << PRECISION) - 1), np.uint64(PRECISION), np.uint64(0xFFFFFFFF)
+        out = np.empty(max(0, min(n, end * lanes) - begin * lanes), self.kind)
         for t in range(begin, end):
             m = min(lanes, n - t * lanes)
             now = x[:m]
-            slot = now & mask
-            s = self.symbol[slot]
-            now = self.freq[s] * (now >> up) + slot - self.cum[s]
+            low = now & mask
+            s = self.symbol[low]
+            slot = self.slots[s]
+            now = (slot >> np.uint64(32)) * (now >> up) + low - (slot & low32)
             need = np.flatnonzero(now < LOW)
             now[need] = (now[need] << np.uint64(32)) | stream[at : at + len(need)]
             at += len(need)
@@ -84,6 +87,9 @@ class Coder:
         return out
 
 
+# crc32 of a block is over its ids in the table's width (little endian)
+
+
 def quantised(count: np.ndarray) -> np.ndarray:
     """Positive counts scaled to sum to 2**PRECISION, each 1 at least."""
     total, n = 1 << PRECISION, len(count)
@@ -94,38 +100,75 @@ def quantised(count: np.ndarray) -> np.ndarray:
     return freq
 
 
-def _blocks(path: str, end_id: int):
-    """Partitions in document order -> blocks of whole documents, with the ids before each in its partition."""
+def _encoded(path: str, end_id: int, bounds: np.ndarray):
+    """Documents -> (part, doc_id, tie, ids with end_id). Parts are ranges of (doc_id, tie) between the bounds.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    An id that several bounds share holds many rows; those are dealt to its parts by ranges of their text's hash.
+    """
 
-        part = TaskContext.get().partitionId()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = library_encoder(path)
-        wide = "<u2" if encode.dtype == "<u2" and end_id < 1 << 16 else "<u4"
+        wide = encode.dtype if end_id < 1 << 16 else "<u4"
         end = np.array([end_id], wide).tobytes()
-        ids, docs, sizes, held, before, block = [], [], [], 0, 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                doc = b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
+                tie = b.column("tie").to_numpy()
+                low, high = np.searchsorted(bounds, doc), np.searchsorted(bounds, doc, side="right")
+                part = low + (tie.astype(np.uint64) * (high - low + 1).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+                ids = [encode(t.as_py()).astype(wide, copy=False).tobytes() + end for t in b.column("text")]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column("doc_id"), b.column("tie"), pa.array([int(wide[-1])] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["part", "doc_id", "tie", "width", "ids"])
 
-        def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "doc_ids": docs, "sizes": sizes, "width": int(wide[-1]), "ids": b"".join(ids)}], schema=BLOCKS_ARROW)
+    return run
 
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                own = encode(text.as_py()).astype(wide, copy=False)
-                ids += [own.tobytes(), end]
-                docs.append(doc), sizes.append(len(own) + 1)
-                held += len(own) + 1
-                if held >= BLOCK_IDS:
-                    yield close()
-                    ids, docs, sizes, held, before, block = [], [], [], 0, before + held, block + 1
-        if docs:
-            yield close()
 
-    return run
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Encoded documents in order, a part after another -> blocks of whole documents, with the ids before each in its part.
 
+    A part's last row has no documents but how often the part holds each id.
+    """
+    part, width, ids, docs, sizes, held, before, block = None, 0, [], [], [], 0, 0, 0
+    total = np.zeros(0, np.int64)
 
-BLOCKS = "part int, block int, before long, doc_ids array<long>, sizes array<int>, width int, ids binary"
-BLOCKS_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("width", pa.int32()), ("ids", pa.binary())])
+    def row(counts: bytes | None = None) -> pa.RecordBatch:
+        nonlocal total, ids, docs, sizes, held, before, block
+        joined = b"".join(ids)
+        if joined:
+            total = added(total, np.bincount(np.frombuffer(joined, f"<u{width}")))
+        out = pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "doc_ids": docs, "sizes": sizes, "width": width, "ids": joined, "counts": counts}], schema=BLOCKS_ARROW)
+        ids, docs, sizes, held, before, block = [], [], [], 0, before + held, block + 1
+        return out
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        nonlocal total, before, block
+        if docs:
+            yield row()
+        if part is not None:
+            yield row(total.astype("<i8").tobytes())
+        total, before, block = np.zeros(0, np.int64), 0, 0
+
+    for b in batches:
+        for p, doc, w, own in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("width").to_pylist(), b.column("ids"), strict=True):
+            if p != part:
+                yield from ended()
+                part, width = p, w
+            own = own.as_py()
+            ids.append(own), docs.append(doc), sizes.append(len(own) // w)
+            held += sizes[-1]
+            if held >= BLOCK_IDS:
+                yield row()
+    yield from ended()
+
+
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a = np.pad(a, (0, max(0, len(b) - len(a))))
+    a[: len(b)] += b
+    return a
+
+
+BLOCKS = "part int, block int, before long, doc_ids array<long>, sizes array<int>, width int, ids binary, counts binary"
+BLOCKS_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("width", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 CODED = "part int, block int, start long, doc_ids array<long>, sizes array<int>, n_ids long, lanes int, stream binary, mark_step array<int>, mark_word array<int>, mark_states binary, crc32 long"
 CODED_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("lanes", pa.int32()), ("stream", pa.binary()), ("mark_step", pa.list_(pa.int32())), ("mark_word", pa.list_(pa.int32())), ("mark_states", pa.binary()), ("crc32", pa.int64())])
 
@@ -133,10 +176,8 @@ CODED_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start",
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in batches:
-        for width, ids in zip(b.column("width").to_pylist(), b.column("ids"), strict=True):
-            own = np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"))
-            total = np.pad(total, (0, max(0, len(own) - len(total))))
-            total[: len(own)] += own
+        for counts in b.column("counts"):
+            total = added(total, np.frombuffer(counts.as_py(), "<i8"))
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
@@ -148,12 +189,15 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int) ->
     repeated ones too, is a document. An empty table gives a file without blocks.
     """
     spark = docs.sparkSession
-    rows = keyed(docs)
-    order = ["doc_id", F.xxhash64("text")]  # the hash splits an id that holds many rows
-    rows = rows.repartitionByRange(2 * shuffle_width(spark), *order).sortWithinPartitions(*order)
-    blocks = written(rows.mapInArrow(_blocks(tokenizer, end_id), BLOCKS), "token-blocks")
+    rows, parts = keyed(docs), 2 * shuffle_width(spark)
+    cuts = rows.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(-(1 << 63))), [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 32)
+    encoded = rows.withColumn("tie", tie).mapInArrow(_encoded(tokenizer, end_id, np.array(cuts or [], np.int64)), "part int, doc_id long, tie long, width int, ids binary")
+    dealt = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "tie")
+    rows = written(dealt.mapInArrow(_blocks, BLOCKS), "token-blocks", "lz4")
+    blocks = rows.where("counts is null").drop("counts")
     # both are bounded: by the vocabulary, and by the number of partitions
-    table = blocks.select("width", "ids").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
+    table = rows.select("counts").where("counts is not null").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").toPandas()
     before = dict(zip(sizes["part"].tolist(), (sizes["n"].cumsum() - sizes["n"]).tolist(), strict=True))
     ids = table["id"].to_numpy(np.int64)
@@ -172,29 +216,34 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int) ->
     out.write.option("compression", "uncompressed").partitionBy("part").parquet(f"{path}/blocks")
 
 
-def read_token_file(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids (little-endian unsigned 32-bit), a row a document."""
+def read_token_file(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids_crc32, ids (u32, little endian), a row a document.
+
+    All blocks are decoded and checked either way; without with_ids the ids column is null and costs no transfer.
+    """
     table = spark.read.parquet(f"{path}/table").orderBy("id").toPandas()  # bounded by the vocabulary
     shared = spark.sparkContext.broadcast((table["id"].to_numpy(np.int64), table["freq"].to_numpy(np.int64)))
-    names = ["doc_id", "start", "n_tokens", "ids"]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(*shared.value)
         for batch in batches:
             for b in batch.to_pylist():
-                ids = coder.decode(b).astype("<u4").tobytes()
+                ids = coder.decode(b)
                 if zlib.crc32(ids) != b["crc32"]:
                     raise ValueError(f"block {b['block']} does not match its checksum")
+                ids = memoryview(ids.astype("<u4").tobytes())
                 ends = np.cumsum(b["sizes"])
                 starts = ends - b["sizes"]
                 cut = [ids[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(b["doc_ids"], pa.int64()), pa.array(starts + b["start"]), pa.array(ends - starts, pa.int64()), pa.array(cut, pa.binary())], names)
+                sums = pa.array([zlib.crc32(c) for c in cut], pa.int64())
+                cut = pa.array([bytes(c) for c in cut] if with_ids else [None] * len(cut), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(b["doc_ids"], pa.int64()), pa.array(starts + b["start"]), pa.array(ends - starts, pa.int64()), sums, cut], names)
 
     blocks = spark.read.schema(CODED).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_digests(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:
     write_token_file(docs, path, tokenizer, end_id)
-    back = read_token_file(docs.sparkSession, path)
-    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_file(docs.sparkSession, path, with_ids=False).drop("ids")

@@ -9,7 +9,7 @@ from hopweave.llm import token_output as T
 from hopweave.llm.common import new_path
 
 
-@pytest.mark.parametrize("n", [0, 1, 63, 64, 1000, 200_003])
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 1000, 700_003])
 def test_blocks_round_trip_and_decode_from_checkpoints(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.zipf(1.3, n), 50_000).astype(np.uint32)
@@ -55,3 +55,17 @@ def test_damaged_block_is_refused(spark):
     spark.read.parquet(f"{path}/table").write.parquet(f"{bad}/table")
     with pytest.raises(Exception, match="checksum"):
         T.read_token_file(spark, bad).collect()
+
+
+def test_an_id_with_most_rows_is_spread(spark):
+    rows = [(i if i % 3 else 7, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = new_path(spark, "t")
+    T.write_token_file(df, path, P.path("byte_bpe_50k.json"), 0)
+    got = T.read_token_file(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(d for d, _ in rows)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    from pyspark.sql import functions as F
+
+    held = spark.read.parquet(f"{path}/blocks").select("part", F.explode("doc_ids").alias("d")).where("d = 7")
+    assert held.select("part").distinct().count() > 2
