@@ -281,7 +281,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark, shape = docs.sparkSession, Shape(length)
     rows = _keyed(docs)
     found = written(rows.mapInArrow(_occurrences(shape), OCCURRENCE), "suffix-occurrences")
-    more = found.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
+    # written, so that the join's sides are both plain shuffles, of which Spark can split a hot seed's
+    more = written(found.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed"), "suffix-seeds")
     cand = written(found.join(more, "seed"), "suffix-candidates")
     one = cand.groupBy("seed", "ctx").agg(F.count("*").alias("k"), F.min(F.struct("k1", "k2", "lo", "off", "side", "n")).alias("r"))
     one = written(one.select("seed", "ctx", "k", "r.*"), "suffix-contexts")
