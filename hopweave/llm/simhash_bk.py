@@ -154,6 +154,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_per_component(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: the row of each component's smallest id stays, and rows with a null id."""
     found = near_duplicates(docs.where("doc_id is not null")).groupBy("doc_id").agg(F.min("component_id").alias("_component"))
-    ids = found.where("doc_id = _component").select(F.col("doc_id").alias("_kept_id"))
-    kept = docs.join(ids, docs["doc_id"] == F.col("_kept_id"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    ids = found.where("doc_id = _component").select("doc_id")
+    kept = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, written
+from .common import shuffle_width, small_batches, written
 
 LENGTH = 400
 #: Window starts that are anchored together; longer texts take several turns.
@@ -109,6 +109,7 @@ def stretches(data: bytes, ends: np.ndarray, shape: Shape) -> tuple[np.ndarray,
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows with equal keys have equal ids and texts."""
+    small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("k1"), F.xxhash64(F.col("text").cast("string")).alias("k2"), F.col("text").cast("string").alias("text"))
 
 
@@ -246,7 +247,7 @@ def _merged(shape: Shape):
         group = pd.factorize(pdf["seed"])[0]
         windows = repeated_windows(group, pdf["data"].tolist(), off, side * (shape.near + 1), pdf["n"].to_numpy(np.int64), shape.length)
         keep = [i for i, w in enumerate(windows) if len(w)]
-        return pd.DataFrame({"seed": pdf["seed"].to_numpy()[keep], "ctx": pdf["ctx"].to_numpy()[keep], "ranges": [_ranges(windows[i]) for i in keep]})
+        return pd.DataFrame({"seed": pdf["seed"].to_numpy()[keep], "ctx": pdf["ctx"].to_numpy()[keep], "ranges": pd.Series([_ranges(windows[i]) for i in keep], dtype=object)})
 
     return run
 
@@ -324,9 +325,11 @@ def cut_out(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    own = docs.withColumn("_k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))).withColumn("_k2", F.xxhash64(F.col("text").cast("string")))
-    spans = repeated_spans(docs, length).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
-    return own.join(spans, ["_k1", "_k2"], "left")
+    """_row (docs' columns), doc_id, text and _spans (null without repeats)."""
+    own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = own.withColumn("k1", F.coalesce("doc_id", F.lit(-1).cast("long"))).withColumn("k2", F.xxhash64("text"))
+    spans = repeated_spans(docs, length).withColumnRenamed("spans", "_spans")
+    return own.join(spans, ["k1", "k2"], "left").select("_row", "doc_id", "text", "_spans")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -348,7 +351,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     out.append((len(data), removed, runs, hashlib.sha256(left).hexdigest()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names)
 
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length)
+    rows = _with_spans(docs.select("doc_id", "text"), length)
     return rows.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -359,5 +362,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else cut_out(t.encode(), [{"a": x["a"], "b": x["b"]} for x in s])[0].decode(errors="ignore") for t, s in zip(texts, spans, strict=True)])
 
-    rows = _with_spans(docs, length)
-    return rows.select(*[F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left(F.col("text").cast("string"), "_spans")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left(F.col("text"), "_spans"))
+    return _with_spans(docs, length).select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
