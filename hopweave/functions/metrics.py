@@ -114,5 +114,7 @@ def flattened(nested: Column) -> Column:
 
 
 def nested(flat: Column, width: int) -> Column:
-    """A flat array in rows of `width`."""
-    return F.transform(F.sequence(F.lit(0), F.size(flat) / width - 1).cast("array<int>"), lambda i: F.slice(flat, i * width + 1, width))
+    """A flat array in rows of `width`; what does not fill a row is left out."""
+    rows = F.floor(F.size(flat) / width).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(rows, F.lit(1)) - 1), lambda i: F.slice(flat, i * width + 1, width))
+    return F.when(rows > 0, cut).otherwise(F.slice(cut, 1, 0))

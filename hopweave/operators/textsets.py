@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +58,27 @@ def item_sets(rows: DataFrame, key: str, item: str, least: int = 1) -> DataFrame
     return sets.where(F.size("items") >= least)
 
 
-def intervals(rows: DataFrame, key: Column, low: float, high: float, points: bool = False) -> DataFrame:
-    """rows with an interval (lo <= hi) from two keyed uniform draws in [low, high); a point if asked for."""
-    u = lambda salt: keyed_hash(key + salt) / F.lit(4294967296.0) * (high - low) + low
-    a, b = u(17), u(17) if points else u(1009)
+def drawn(key: Column, salt: int, distribution: str, **p: float) -> Column:
+    """A keyed draw: uniform (low, high), normal (mean, std) or poisson (lam)."""
+    if distribution == "uniform":
+        return (keyed_hash(key + salt) + 0.5) / F.lit(4294967296.0) * (p["high"] - p["low"]) + p["low"]
+    u = lambda s: (F.pmod(F.xxhash64(key, F.lit(s)), F.lit(1 << 32)) + 0.5) / F.lit(4294967296.0)
+    if distribution == "normal":
+        return p["mean"] + p["std"] * F.sqrt(-2 * F.log(u(salt))) * F.cos(2 * math.pi * u(salt + 7))
+    if distribution == "poisson":
+        term, total, steps = math.exp(-p["lam"]), 0.0, []
+        for k in range(int(p["lam"] + 12 * math.sqrt(p["lam"]) + 20)):
+            total += term
+            steps.append(F.lit(total))
+            term *= p["lam"] / (k + 1)
+        return F.size(F.filter(F.array(*steps), lambda c: c < u(salt))).cast("double")
+    raise ValueError(f"unknown distribution {distribution!r}; one of uniform, normal, poisson")
+
+
+def intervals(rows: DataFrame, key: Column, distribution: str = "uniform", points: bool = False, **p: float) -> DataFrame:
+    """rows with an interval (lo <= hi) from two keyed draws; a point if asked for."""
+    a = drawn(key, 17, distribution, **p)
+    b = a if points else drawn(keyed_hash(key), 1009, distribution, **p)  # hashed twice: no shift of the first draw
     return rows.withColumn("lo", F.least(a, b)).withColumn("hi", F.greatest(a, b))
 
 

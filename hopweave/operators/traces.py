@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.iterate import checkpointed
+from .refine import deficit_edges
 
 
 def nodes(trace: DataFrame) -> DataFrame:
@@ -82,3 +85,23 @@ def local_matrix(trace: DataFrame, edges: DataFrame, num: int = 10) -> DataFrame
     a = near.select("q_id", F.col("node").alias("src"), "i")
     b = near.select("q_id", F.col("node").alias("dst"), F.col("i").alias("j"))
     return a.join(edges.select("src", "dst").distinct(), "src").join(b, ["q_id", "dst"]).select("q_id", "src", "dst", "i", "j")
+
+
+def local_links(trace: DataFrame, edges: DataFrame, num: int = 10, jumps: int = 8, most: int = 5) -> DataFrame:
+    """q_id, src, dst: up to `most` directed links that the `num` nearest nodes of each trace lack (see refine)."""
+    order = Window.partitionBy("q_id").orderBy("dist", "node")
+    near = nodes(trace).where("dist is not null").withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < num).select("q_id", "node", "i")
+    links = local_matrix(trace, edges, num).groupBy("q_id").agg(F.collect_list(F.struct("i", "j")).alias("links"))  # num * num
+    core = near.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda s: s["node"]).alias("core"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for q_id, core, links in zip(pdf["q_id"], pdf["core"], pdf["links"], strict=True):
+                a = np.zeros((len(core), len(core)), bool)
+                for x in links if links is not None else []:
+                    a[x["i"], x["j"]] = True
+                rows += [(q_id, core[u], core[v]) for u, v in deficit_edges(a, jumps, most, both_ways=False)]
+            yield pd.DataFrame(rows, columns=["q_id", "src", "dst"])
+
+    return core.join(links, "q_id", "left").mapInPandas(run, "q_id long, src long, dst long")

@@ -686,12 +686,15 @@ def davies_bouldin(spark, sf):
     return _rounded(clusters.davies_bouldin(_base(spark, sf)), "davies_bouldin")
 
 
-_U = "(((s_suppkey + {}) ::HUGEINT * 2654435761) % 4294967296) / 4294967296.0::DOUBLE * 490"
+_U = "(((({} + {}) ::HUGEINT * 2654435761) % 4294967296)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE * 490"
 
 
-@query(f"WITH i AS (SELECT s_suppkey AS id, least({_U.format(17)}, {_U.format(1009)}) AS lo, greatest({_U.format(17)}, {_U.format(1009)}) AS hi FROM supplier) SELECT id, count(*)::BIGINT AS stabs FROM i JOIN events ON value >= lo AND value <= hi GROUP BY 1")
+_A, _B = _U.format("s_suppkey", 17), _U.format("((s_suppkey::HUGEINT * 2654435761) % 4294967296)", 1009)
+
+
+@query(f"WITH i AS (SELECT s_suppkey AS id, least({_A}, {_B}) AS lo, greatest({_A}, {_B}) AS hi FROM supplier) SELECT id, count(*)::BIGINT AS stabs FROM i JOIN events ON value >= lo AND value <= hi GROUP BY 1")
 def interval_stab(spark, sf):
-    spans = textsets.intervals(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), F.col("id"), 0.0, 490.0)
+    spans = textsets.intervals(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), F.col("id"), low=0.0, high=490.0)
     points = table(spark, sf, "events").select(F.col("event_id").alias("p_id"), F.col("value").alias("at"))
     return textsets.stabbed(spans, points, 25.0).groupBy("id").agg(F.count("*").alias("stabs"))
 
@@ -913,6 +916,12 @@ def trace_local_matrix(spark, sf):
     return traces.local_matrix(t, edges)
 
 
+@query()
+def trace_local_links(spark, sf):
+    edges, t, _ = _traced(spark, sf)
+    return traces.local_links(t, edges, jumps=2)
+
+
 @query()
 def implicit_item_factors(spark, sf):
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -976,6 +985,14 @@ def file_sparse_matrix(spark, sf):
     return back.select("row_id", F.size("idx").cast("long").alias("entries"), F.round(metrics.total(F.transform("val", lambda x: x.cast("double"))), 4).alias("total"))
 
 
+@query(f"WITH {V}, {_unrolled(0)} SELECT vec_id, cid FROM a0")
+def file_ivf_index(spark, sf):
+    base, path = _base(spark, sf), new_path(spark, "ivf")
+    c = ivf.first_centroids(base, 16)
+    results.write_ivf(c, ivf.assign(base, c), path, 0)
+    return results.read_ivf(spark, path, 64)[1]
+
+
 @query(f"WITH {GRAPH} SELECT src, pos, dst FROM g")
 def file_graph_index(spark, sf):
     _, e, n = _graph(spark, sf)

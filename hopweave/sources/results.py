@@ -211,3 +211,45 @@ def save_index(edges: DataFrame, nodes: DataFrame, meta: DataFrame, path: str) -
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(spark.read.parquet(f"{path}/{t}") for t in ("edges", "nodes", "meta"))
+
+
+#: Family codes of adjacency files (fixed values).
+FAMILY_CODES = {0: "hcnng", 1: "vamana", 2: "nsg", 3: "hnsw"}
+
+
+def read_adjacency(spark: SparkSession, path: str, code: int, n: int) -> DataFrame:
+    """src, pos, dst of a graph file by its family's code; of layered graphs the lowest level."""
+    return read_index(spark, path, FAMILY_CODES[code], n)[0].where("level = 0").drop("level")
+
+
+def write_ivf(centroids: DataFrame, assigned: DataFrame, path: str, rounds: int) -> None:
+    """(cid from 0, embedding) and (vec_id, cid) as one file: counts, centroids, ends of the lists, ids by list."""
+    kc = centroids.count()
+    size = {r.cid: r["count"] for r in assigned.groupBy("cid").count().collect()}  # as many as centroids
+    system, name = opened(path)
+    with system.open_output_stream(name) as f:
+        f.write(np.array([kc, rounds], "<u8").tobytes())
+        for r in centroids.orderBy("cid").select("embedding").toLocalIterator():
+            f.write(np.asarray(r[0], "<f4").tobytes())
+        f.write(np.cumsum([size.get(i, 0) for i in range(kc)]).astype("<u8").tobytes())
+        for r in assigned.orderBy("cid", "vec_id").select("vec_id").toLocalIterator():
+            f.write(np.array([r[0]], "<i4").tobytes())
+
+
+def read_ivf(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(centroids (cid, embedding), assignments (vec_id, cid))."""
+    system, name = opened(path)
+    with system.open_input_file(name) as f:
+        kc = int(_at(f, 0, 1, "<u8")[0])
+        centroids = _at(f, 16, kc * dim, "<f4").reshape(kc, dim)
+        ends = _at(f, 16 + 4 * kc * dim, kc, "<u8").astype(np.int64)
+    start = np.concatenate(([0], ends))
+
+    def read(f, part):
+        a, b = part
+        lo, hi = int(start[a]), int(start[b])
+        ids = _at(f, 16 + 4 * kc * dim + 8 * kc + 4 * lo, hi - lo, "<i4")
+        return [pa.array(ids.astype(np.int64)), pa.array(np.repeat(np.arange(a, b), np.diff(start[a : b + 1])))]
+
+    table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cid long, embedding array<float>")
+    return table, _rows(spark, path, _ranges(kc, max(1, kc // 64)), "vec_id long, cid long", read)
