@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import connected_components, keyed, shuffle_width, written
 
@@ -152,8 +153,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: the row of each component's smallest id stays, and rows with a null id."""
+    """docs without near-duplicates: one row of each component's smallest id stays, and all rows with a null id."""
     found = near_duplicates(docs.where("doc_id is not null")).groupBy("doc_id").agg(F.min("component_id").alias("_component"))
     ids = found.where("doc_id = _component").select("doc_id")
-    kept = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.where("doc_id is not null").select("doc_id", F.struct(*docs.columns).alias("_row")).join(ids, "doc_id", "left_semi")
+    # of rows that repeat the id, one by its text's hash; they lie together already
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("_row.text"))
+    kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
     return kept.union(docs.where("doc_id is null"))

@@ -68,3 +68,11 @@ def test_hot_keys_are_split_exactly(spark, monkeypatch):
         lab = new
     brute = {i: int(x) for i, x in enumerate(lab) if near[i].sum() > 1}
     assert want == brute and got == brute
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(5, "a b c d", 1), (5, "a b c d", 2), (3, "A b C d", 3), (9, "quite another text", 4), (None, "a b c d", 5), (None, None, 6), (7, None, 7), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _n int")
+    assert sorted(r._n for r in S.one_per_component(df).collect()) == [3, 4, 5, 6, 7]
+    twice = df.where("doc_id = 5")
+    assert S.one_per_component(twice).count() == 1
