@@ -287,7 +287,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cand = written(found.join(more, "seed"), "suffix-candidates")
     one = cand.groupBy("seed", "ctx").agg(F.count("*").alias("k"), F.min(F.struct("k1", "k2", "lo", "off", "side", "n")).alias("r"))
     one = written(one.select("seed", "ctx", "k", "r.*"), "suffix-contexts")
-    several = one.groupBy("seed").agg(F.count("*").alias("m")).where("m > 1")
+    several = written(one.groupBy("seed").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
     # contexts that occur once, among others of their seed, are compared; those met twice only stand by
     unlike = one.join(several, "seed")
     wanted = unlike.groupBy("k1", "k2").agg(F.collect_list(F.struct("seed", "ctx", "lo", "off", "side", "n")).alias("wanted"))  # bounded by the text
