@@ -725,6 +725,13 @@ def beam_search_sharded(spark, sf):
     return build.sharded_search(edges, nodes, base, _asked(base), 10, 64)
 
 
+@query()
+def beam_search_rounds(spark, sf):
+    base, edges, nodes = _parts(spark, sf, "nsg", r=16, lc=48)
+    found = walk.beam_rounds(edges, base, _asked(base), nodes.where("is_entry").select(F.col("id").alias("vec_id")), 4)
+    return found.select("q_id", "evaluations", F.inline("found"))
+
+
 @query()
 def hnsw_search(spark, sf):
     base, _, _, g = _loaded(spark, sf, "hnsw", m=8, efc=48)

@@ -205,3 +205,16 @@ def test_refinement_keeps_recall(spark):
     assert rows[1].edges < rows[0].edges and rows[2].edges >= rows[1].edges
     assert rows[2].recall > 0.85 and all(0 <= r.acer <= 1 for r in rows)
     assert refined.where("src = dst").count() == 0
+
+
+def test_rounds_of_joins_search_alike(spark):
+    from hopweave.operators import walk
+
+    v = vectors(spark, X[:50])
+    edges, nodes = build.build(v, "nsg", r=5, lc=16)
+    g = search.load(edges, nodes, v)
+    q = v.where("vec_id % 9 = 4")
+    entry = nodes.where("is_entry").selectExpr("id as vec_id")
+    for r in walk.beam_rounds(edges, v, q, entry, 4).collect():
+        found, count, _ = search.beam(g, g.x[r.q_id], g.entry, 4)
+        assert [f.node for f in r.found] == [n for _, n in found] and r.evaluations == count
