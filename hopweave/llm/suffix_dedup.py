@@ -25,7 +25,7 @@ from .common import shuffle_width, small_batches, written
 
 LENGTH = 400
 #: Window starts that are anchored together; longer texts take several turns.
-TURN = 1 << 22
+TURN = 1 << 20
 #: Stretches of one anchor beyond this are compared window by window over the cluster.
 HOT = 20_000
 #: Stretches that one task merges, about.
