@@ -135,7 +135,8 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?=({'|'.join(map(re.escape, terms))}))"), F.lit(1)))
     postings = rows.select("_key", F.explode(found).alias("term"))
-    asked = spark.createDataFrame(clauses, "rule string, clause int, term string, size int")  # as large as the rules
+    rows_of = [F.struct(*[F.lit(x).alias(n) for x, n in zip(c, ("rule", "clause", "term", "size"), strict=True)]) for c in clauses]
+    asked = spark.range(1).select(F.inline(F.array(*rows_of)))  # as large as the rules
     met = postings.join(F.broadcast(asked), "term").groupBy("_key", "rule", "clause", "size").agg(F.count_distinct("term").alias("n"))
     return met.where("n = size").groupBy("_key").agg(F.collect_set("rule").alias("_rules"))
 
