@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import keyed
-from .pretok import REMEMBERED, splitter
-from .token_counts import chunks
+from .pretok import REMEMBERED, chunks, pretokens
 
+#: Characters of text whose new words are replayed together.
+CHUNK = 4 << 20
 SHIFT = 20
 LOW = (1 << SHIFT) - 1
 
@@ -95,11 +96,10 @@ class Replay:
         return [raw[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        found = [splitter().findall(t or "") for t in texts]
-        new = {w for words in found for w in words if w not in self.known}
+        found, sizes = pretokens(texts)
+        new = {w for w in set(found) if w not in self.known}
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = {w for words in found for w in words}
+            self.known, new = {}, set(found)
         if new:
             raw = {w: w.encode() for w in new}
             whole = {w: self.rank[r] for w, r in raw.items() if r in self.rank}
@@ -107,7 +107,9 @@ class Replay:
             rest = [w for w in raw if w not in whole]
             if rest:
                 self.known.update(zip(rest, self.words([raw[w] for w in rest]), strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in found]
+        ids = list(map(self.known.__getitem__, found))
+        ends = np.cumsum([0, *sizes]).tolist()
+        return [np.frombuffer(b"".join(ids[a:b]), "<u4") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -129,7 +131,7 @@ def encoded(docs: DataFrame, ranks: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = replay(ranks)
         for b in batches:
-            for first, texts in chunks(b.column("text")):
+            for first, texts in chunks(b.column("text"), CHUNK):
                 arrays = own.encode(texts)
                 digests, decoded = [], []
                 for a in arrays:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import keyed
-from .pretok import library_encoder
+from .pretok import chunks, library_encoder
 
 #: A piece may leave this share of its class's room empty, else it is cut.
 SLACK = 1 / 64
@@ -118,8 +118,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048)
             return out
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                placed(worker.add(doc, np.append(encode(text.as_py()), end_id).astype("<u4")))
+            ids = b.column("doc_id").to_pylist()
+            for first, texts in chunks(b.column("text")):
+                for doc, own in zip(ids[first : first + len(texts)], encode(texts), strict=True):
+                    placed(worker.add(doc, np.append(own, end_id).astype("<u4")))
                 if len(rows) >= 4096:
                     yield batch()
         placed(worker.close())

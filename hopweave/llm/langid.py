@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, shuffle_width, written
-from .token_counts import chunks
+from .pretok import chunks
 
 #: Labelled documents of a language to learn from, about: those whose id's hash falls below SAMPLE / their number.
 SAMPLE = 3000
@@ -26,6 +26,8 @@ ROUNDS = 3
 STRETCH = 64
 #: Added to every piece's expected count.
 SMOOTHING = 0.05
+#: Characters of text whose new words are scored together.
+CHUNK = 4 << 20
 #: Words whose scores a Python worker remembers.
 REMEMBERED = 400_000
 #: Scale of each letter's probability that keeps sums within a double's range; divided out at the end.
@@ -242,7 +244,7 @@ def identified(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Identifier(*shared.value)
         for b in batches:
-            for first, texts in chunks(b.column("text")):
+            for first, texts in chunks(b.column("text"), CHUNK):
                 names, scores = zip(*own(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(texts)), pa.array(names), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 

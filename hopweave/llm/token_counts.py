@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import keyed
-from .pretok import REMEMBERED, byte_alphabet, splitter
+from .pretok import REMEMBERED, byte_alphabet, chunks, pretokens
 
-#: Bytes of text whose pre-tokens are merged together.
-CHUNK_BYTES = 4 << 20
+#: Characters of text whose pre-tokens are merged together.
+CHUNK = 4 << 20
 NONE = np.int64(1 << 40)
 
 
@@ -100,22 +100,25 @@ class Merger:
         return out
 
     def batch(self, texts: list[str | None]) -> list[int]:
-        found, ends = [], []
-        for text in texts:
-            parts, n = [text or ""], 0
+        parts, owner, out = [], [], [0] * len(texts)
+        for i, text in enumerate(texts):
+            own = [text or ""]
             for special in self.added:  # the library's default: an added token's string is that token
-                parts = [q for p in parts for q in p.split(special)]
-            n = len(parts) - 1
-            words = [w for p in parts for w in splitter().findall(p)]
-            found.append(words), ends.append(n)
-        new = list({w for words in found for w in words if w not in self.known})
+                own = [q for p in own for q in p.split(special)]
+            out[i] = len(own) - 1
+            parts += own
+            owner += [i] * len(own)
+        words, sizes = pretokens(parts)
+        new = [w for w in set(words) if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({w for words in found for w in words})
+            self.known, new = {}, list(set(words))
         if new:
             self.known.update(zip(new, self.counts([w.encode() for w in new]).tolist(), strict=True))
-        get = self.known.__getitem__
-        return [sum(map(get, words)) + n for words, n in zip(found, ends, strict=True)]
+        ends = np.cumsum(np.concatenate(([0], np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))))
+        at = np.cumsum([0, *sizes])
+        for i, n in zip(owner, (ends[at[1:]] - ends[at[:-1]]).tolist(), strict=True):
+            out[i] += n
+        return out
 
 
 @lru_cache(2)
@@ -123,20 +126,6 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
-def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row, texts) of up to `most` characters, one text at least."""
-    first, held, size = 0, [], 0
-    for i, x in enumerate(column):
-        text = x.as_py()
-        held.append(text)
-        size += len(text or "")
-        if size >= most:
-            yield first, held
-            first, held, size = i + 1, [], 0
-    if held:
-        yield first, held
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit); tokenizer: a byte-level BPE .json file.
 
@@ -148,7 +137,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(tokenizer)
         for b in batches:
-            for first, texts in chunks(b.column("text")):
+            for first, texts in chunks(b.column("text"), CHUNK):
                 n = own.batch(texts)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(texts)), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names)
 

@@ -17,15 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keyed, shuffle_width, written
-from .pretok import library_encoder
+from .pretok import chunks, library_encoder
 
 #: Frequencies sum to 2**PRECISION; states stay in [2**31, 2**63).
 PRECISION = 20
 LOW = np.uint64(1 << 31)
-BLOCK_IDS = 1 << 20
-LANES = 4096
+#: About 400 kB a row of 16-bit ids: small enough for the JVM to move about like other objects.
+BLOCK_IDS = 200_000
+LANES = 2048
 #: Steps (of one id for each lane) between checkpoints.
-CHECKPOINT_STEPS = 128
+CHECKPOINT_STEPS = 64
 
 
 class Coder:
@@ -48,7 +49,7 @@ class Coder:
         count, low32, shift, up = 0, np.uint64(0xFFFFFFFF), np.uint64(63 - PRECISION), np.uint64(PRECISION)
         for t in range(steps - 1, -1, -1):
             s = ids[t * lanes : (t + 1) * lanes]
-            slot, now = self.slots[s], x[: len(s)]
+            slot, now = self.slots.take(s), x[: len(s)]
             f = slot >> np.uint64(32)
             full = np.flatnonzero(now >= f << shift)
             words.append((now[full] & low32).astype(np.uint32))
@@ -76,8 +77,8 @@ class Coder:
             m = min(lanes, n - t * lanes)
             now = x[:m]
             low = now & mask
-            s = self.symbol[low]
-            slot = self.slots[s]
+            s = self.symbol.take(low.view(np.int64))
+            slot = self.slots.take(s)
             now = (slot >> np.uint64(32)) * (now >> up) + low - (slot & low32)
             need = np.flatnonzero(now < LOW)
             now[need] = (now[need] << np.uint64(32)) | stream[at : at + len(need)]
@@ -111,13 +112,13 @@ def _encoded(path: str, end_id: int, bounds: np.ndarray):
         wide = encode.dtype if end_id < 1 << 16 else "<u4"
         end = np.array([end_id], wide).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
+            for first, texts in chunks(batch.column("text")):
+                b = batch.slice(first, len(texts))
                 doc = b.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
                 tie = b.column("tie").to_numpy()
                 low, high = np.searchsorted(bounds, doc), np.searchsorted(bounds, doc, side="right")
                 part = low + (tie.astype(np.uint64) * (high - low + 1).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-                ids = [encode(t.as_py()).astype(wide, copy=False).tobytes() + end for t in b.column("text")]
+                ids = [own.astype(wide, copy=False).tobytes() + end for own in encode(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column("doc_id"), b.column("tie"), pa.array([int(wide[-1])] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["part", "doc_id", "tie", "width", "ids"])
 
     return run
@@ -194,7 +195,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int) ->
     tie = F.shiftrightunsigned(F.xxhash64("text"), 32)
     encoded = rows.withColumn("tie", tie).mapInArrow(_encoded(tokenizer, end_id, np.array(cuts or [], np.int64)), "part int, doc_id long, tie long, width int, ids binary")
     dealt = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "tie")
-    rows = written(dealt.mapInArrow(_blocks, BLOCKS), "token-blocks", "lz4")
+    rows = written(dealt.mapInArrow(_blocks, BLOCKS), "token-blocks", "uncompressed")  # ids hardly shrink, and are read once
     blocks = rows.where("counts is null").drop("counts")
     # both are bounded: by the vocabulary, and by the number of partitions
     table = rows.select("counts").where("counts is not null").mapInArrow(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
@@ -206,6 +207,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int) ->
     spark.createDataFrame(list(zip(ids.tolist(), freq.tolist(), strict=True)), "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_encoder.cache_clear()  # this worker's words are not needed any more
         coder = Coder(*shared.value)
         for b in batches:
             for r in b.to_pylist():
@@ -232,12 +234,12 @@ def read_token_file(spark: SparkSession, path: str, with_ids: bool = True) -> Da
                 ids = coder.decode(b)
                 if zlib.crc32(ids) != b["crc32"]:
                     raise ValueError(f"block {b['block']} does not match its checksum")
-                ids = memoryview(ids.astype("<u4").tobytes())
+                ids = ids.astype("<u4")
                 ends = np.cumsum(b["sizes"])
                 starts = ends - b["sizes"]
-                cut = [ids[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                cut = [ids[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 sums = pa.array([zlib.crc32(c) for c in cut], pa.int64())
-                cut = pa.array([bytes(c) for c in cut] if with_ids else [None] * len(cut), pa.binary())
+                cut = pa.array([c.tobytes() for c in cut] if with_ids else [None] * len(cut), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(b["doc_ids"], pa.int64()), pa.array(starts + b["start"]), pa.array(ends - starts, pa.int64()), sums, cut], names)
 
     blocks = spark.read.schema(CODED).parquet(f"{path}/blocks")
