@@ -196,10 +196,13 @@ def missing(found: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.select("q_id", "b_id", "rank").join(found.select("q_id", "b_id"), ["q_id", "b_id"], "left_anti")
 
 
-def nearest_present(lost: DataFrame, found: DataFrame, vectors: DataFrame, metric: str = "squared_l2") -> DataFrame:
-    """For each missing (q_id, b_id): the row of found nearest to it, ties to the smaller id: q_id, b_id, present, dist."""
+def nearest_present(lost: DataFrame, found: DataFrame, vectors: DataFrame, metric: str = "squared_l2", within: tuple[str, ...] = ()) -> DataFrame:
+    """For each missing (q_id, b_id): the row of found nearest to it, ties to the smaller id: q_id, b_id, present, dist.
+
+    within: columns in which both must agree too.
+    """
     v = lambda i, x: vectors.select(F.col("vec_id").alias(i), F.col("embedding").alias(x))
-    pairs = lost.select("q_id", "b_id").join(found.select("q_id", F.col("b_id").alias("present")), "q_id").join(v("b_id", "_b"), "b_id").join(v("present", "_p"), "present")
+    pairs = lost.select("q_id", "b_id", *within).join(found.select("q_id", *within, F.col("b_id").alias("present")), ["q_id", *within]).join(v("b_id", "_b"), "b_id").join(v("present", "_p"), "present")
     scored = pairs.select("q_id", "b_id", "present", metrics.metric(metric)(F.col("_b"), F.col("_p")).alias("dist"))
     best = scored.groupBy("q_id", "b_id").agg(F.min(F.struct("dist", "present")).alias("m"))
     return best.select("q_id", "b_id", "m.present", "m.dist")

@@ -164,23 +164,24 @@ def expansion(g: search.Graph, q: np.ndarray, start: int, ef: int, level: int =
     return sorted(out)
 
 
-def local_edges(g: search.Graph, vectors: DataFrame, settings: Settings, node_levels: np.ndarray | None = None) -> DataFrame:
+def local_edges(g: search.Graph | search.Shards, vectors: DataFrame, settings: Settings) -> DataFrame:
     """level, src, dst that hop-limited reachability around each seed asks for; vectors: the seeds.
 
     Around a seed, the core_k nearest expanded nodes (the seed among them) and their adjacency. The hierarchical family
-    expands level 0 from the seed itself and links nodes of the task's level; others expand from the entry.
+    expands level 0 from the seed itself and links nodes of the task's level; others expand from the entry. Each seed
+    is a node of one shard, in which it asks.
     """
-    levels = min(settings.level_scope, len(g.lists)) if settings.family == "hnsw" else 1
 
     def each(g: search.Graph, q_id: int, q: np.ndarray):
+        levels = min(settings.level_scope, len(g.lists)) if settings.family == "hnsw" else 1
         own = int(np.searchsorted(g.ids, q_id))
         from_seed = settings.family == "hnsw"
         found = expansion(g, q, own if from_seed else g.start(q_id), settings.ef_max, 0, 0.0 if from_seed else None)
         rows = []
         for level in range(levels):
-            if level and (node_levels is None or node_levels[own] < level):
+            if level and (g.tops is None or g.tops[own] < level):
                 break
-            core = [v for _, v in found if not level or node_levels[v] >= level][: settings.core_k]
+            core = [v for _, v in found if not level or g.tops[v] >= level][: settings.core_k]
             if own not in core:
                 core = [*core[: settings.core_k - 1], own]
             place = {v: i for i, v in enumerate(core)}
@@ -192,33 +193,49 @@ def local_edges(g: search.Graph, vectors: DataFrame, settings: Settings, node_le
             rows += [(level, int(g.ids[core[u]]), int(g.ids[core[v]])) for u, v in deficit_edges(a, settings.jumps, settings.repeat_max)]
         return rows
 
-    return search._over(g, vectors, "level int, src long, dst long", each).distinct()
+    return search._over(g, vectors, "level int, src long, dst long", each, home=True).distinct()
 
 
 # repair, tuning, evaluation
 
 
-def pseudo_truth(g: search.Graph, vectors: DataFrame, degree: int, ef: int = 2000) -> DataFrame:
+def pseudo_truth(g: search.Graph | search.Shards, vectors: DataFrame, degree: int, ef: int = 2000) -> DataFrame:
     """q_id, rank, b_id: what the index itself finds for its own vectors at a high ef."""
     return search.knn_search(g, vectors, degree, ef).select("q_id", "rank", "b_id")
 
 
-def repair_edges(found: DataFrame, truth: DataFrame, vectors: DataFrame, degree: int, target: float = 0.90, most: int = 2) -> DataFrame:
+def repair_edges(found: DataFrame, truth: DataFrame, vectors: DataFrame, degree: int, target: float = 0.90, most: int = 2, present: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """level 0 src, dst (both ways) for nodes whose recall of `truth` falls under the target.
 
     A node's missing neighbours, in rank order, are each linked with the nearest row that was found; two of them at most.
+    Edges lie in one shard: with several, present (q_id, b_id, shard) has what each shard found, and a missing neighbour
+    is linked with the nearest of its own shard (nodes: id, shard).
     """
     hit = found.select("q_id", "b_id").join(truth.select("q_id", "b_id"), ["q_id", "b_id"], "left_semi").groupBy("q_id").agg(F.count("*").alias("h"))
     poor = truth.select("q_id").distinct().join(hit, "q_id", "left").where(F.coalesce("h", F.lit(0)) / degree + 1e-6 < target).select("q_id")
     lost = knn.missing(found, truth).join(poor, "q_id", "left_semi")
-    near = knn.nearest_present(lost, found.join(poor, "q_id", "left_semi"), vectors).where("b_id <> present").join(lost, ["q_id", "b_id"])
+    if present is None:
+        near = knn.nearest_present(lost, found.join(poor, "q_id", "left_semi"), vectors)
+    else:
+        placed = lost.join(nodes.select(F.col("id").alias("b_id"), "shard"), "b_id")
+        near = knn.nearest_present(placed, present.join(poor, "q_id", "left_semi"), vectors, within=("shard",))
+    near = near.where("b_id <> present").join(lost, ["q_id", "b_id"])
     order = Window.partitionBy("q_id").orderBy("rank")
     pick = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     out = pick.select(F.lit(0).alias("level"), F.col("present").alias("src"), F.col("b_id").alias("dst"))
     return out.union(out.select("level", "dst", "src")).distinct()
 
 
-def recall_at(g: search.Graph, queries: DataFrame, truth: DataFrame, k: int, ef: int) -> tuple[float, float]:
+def repairs(g: search.Graph | search.Shards, vectors: DataFrame, truth: DataFrame, degree: int, ef: int, target: float = 0.90) -> DataFrame:
+    """repair_edges of what a search at ef finds for the index's own vectors."""
+    if not isinstance(g, search.Shards):
+        return repair_edges(checkpointed(search.knn_search(g, vectors, degree, ef)), truth, vectors, degree, target)
+    parts = checkpointed(search.shard_answers(g, vectors, degree, ef))
+    found = checkpointed(search.merged_answers(parts, degree))
+    return repair_edges(found, truth, vectors, degree, target, present=parts.where("b_id is not null").select("q_id", "b_id", "shard"), nodes=g.nodes)
+
+
+def recall_at(g: search.Graph | search.Shards, queries: DataFrame, truth: DataFrame, k: int, ef: int) -> tuple[float, float]:
     """(recall@k, mean evaluations) at one ef."""
     found = search.knn_search(g, queries, k, ef)
     hit = truth.where(F.col("rank") <= k).select("q_id", "b_id", F.lit(1).alias("hit"))
@@ -228,7 +245,7 @@ def recall_at(g: search.Graph, queries: DataFrame, truth: DataFrame, k: int, ef:
     return (row[0] or 0) / (n * k), row[1] or 0.0
 
 
-def tuned_ef(g: search.Graph, queries: DataFrame, truth: DataFrame, k: int, target: float, start: int, coarse: int, fine: int, most: int) -> int:
+def tuned_ef(g: search.Graph | search.Shards, queries: DataFrame, truth: DataFrame, k: int, target: float, start: int, coarse: int, fine: int, most: int) -> int:
     """The least ef of a coarse, then fine grid that reaches the target recall; `most` if none does."""
     ef, last = start, None
     while ef <= most:
@@ -249,7 +266,7 @@ def dynamic_efs(tuned: int) -> dict[str, int]:
     return {"prune": tuned, "train": 2000, "add": max(2 * tuned, 2000)}
 
 
-def sweep(g: search.Graph, queries: DataFrame, truth: DataFrame, k: int, efs: Iterator[int] | range, stop_at: float | None = None) -> list[dict]:
+def sweep(g: search.Graph | search.Shards, queries: DataFrame, truth: DataFrame, k: int, efs: Iterator[int] | range, stop_at: float | None = None) -> list[dict]:
     """ef, recall and mean evaluations over a range of ef, until a recall is passed."""
     out = []
     for ef in efs:
@@ -260,16 +277,19 @@ def sweep(g: search.Graph, queries: DataFrame, truth: DataFrame, k: int, efs: It
     return out
 
 
-def edge_impact(g: search.Graph, seeds_of: DataFrame, vectors: DataFrame, truth: DataFrame, k: int, ef: int) -> DataFrame:
+def edge_impact(g: search.Graph | search.Shards, seeds_of: DataFrame, vectors: DataFrame, truth: DataFrame, k: int, ef: int) -> DataFrame:
     """src, dst, seeds, comparison_diff, recall_diff, impact_ratio: searches with and without each edge, for its seeds.
 
     seeds_of: (src, dst, seed). Both searches leave the seed out of its answer. impact_ratio: relative change of
-    evaluations; diffs are baseline less disabled, averaged over seeds.
+    evaluations; diffs are baseline less disabled, averaged over seeds. With several shards the edge's own is searched
+    again and the others' part of the answer and the evaluations stays.
     """
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(g)
     true = truth.where("q_id <> b_id").withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))).where(F.col("r") <= k)
     wanted = true.groupBy(F.col("q_id").alias("seed")).agg(F.collect_list("b_id").alias("truth"))
+    if isinstance(g, search.Shards):
+        return _impact(_shard_impact(g, seeds_of, vectors, wanted, k, ef))
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(g)
     names = ["src", "dst", "base_evals", "evals", "base_recall", "recall"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +310,39 @@ def edge_impact(g: search.Graph, seeds_of: DataFrame, vectors: DataFrame, truth:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in [pa.int64()] * 4 + [pa.float64()] * 2], names)
 
     # one seed's edges go to one task, which searches its baseline once
-    rows = seeds_of.select("src", "dst", "seed").join(wanted, "seed").repartition("seed").mapInArrow(run, "src long, dst long, base_evals long, evals long, base_recall double, recall double")
+    rows = seeds_of.select("src", "dst", "seed").join(wanted, "seed").repartition("seed").mapInArrow(run, _IMPACT)
+    return _impact(rows)
+
+
+_IMPACT = "src long, dst long, base_evals long, evals long, base_recall double, recall double"
+
+
+def _shard_impact(g: search.Shards, seeds_of: DataFrame, vectors: DataFrame, wanted: DataFrame, k: int, ef: int) -> DataFrame:
+    """Rows of _IMPACT. A seed goes to each shard with its edges there and all shards' baseline answers."""
+    asked = vectors.join(seeds_of.select(F.col("seed").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    base = search.shard_answers(g, asked, k, ef, exclude_self=True)
+    base = base.groupBy(F.col("q_id").alias("seed")).agg(F.collect_list(F.struct("shard", F.coalesce("dist", F.lit(math.inf)).alias("dist"), F.coalesce("b_id", F.lit(-1)).alias("b_id"), "evaluations")).alias("base"))  # k a shard
+    cut = seeds_of.join(g.nodes.select(F.col("id").alias("src"), "shard"), "src").groupBy("shard", "seed").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))  # a trace's
+    rows = cut.join(wanted, "seed").join(base, "seed").join(asked.select(F.col("vec_id").alias("seed"), "embedding"), "seed").withColumnRenamed("seed", "vec_id")
+
+    def each(g: search.Graph, q_id: int, q: np.ndarray, edges, truth, base):
+        truth, others = set(truth), [(b["dist"], b["b_id"]) for b in base if b["shard"] != g.shard and b["b_id"] >= 0]
+        elsewhere = sum({b["shard"]: b["evaluations"] for b in base if b["shard"] != g.shard}.values())
+
+        def one(off: frozenset):
+            found, count, _ = search.search(g, q, q_id, ef, ef, disabled=off)
+            own = [(d, int(g.ids[v])) for d, v in found if g.ids[v] != q_id][:k]
+            return elsewhere + count, len(truth & {b for _, b in sorted(own + others)[:k]}) / k
+
+        whole = one(frozenset())
+        for e in edges:
+            now = one(frozenset([(int(np.searchsorted(g.ids, e["src"])), int(np.searchsorted(g.ids, e["dst"])))]))
+            yield e["src"], e["dst"], whole[0], now[0], whole[1], now[1]
+
+    return search._dealt(g, rows, _IMPACT, each, False, ("shard", "edges", "truth", "base"))
+
+
+def _impact(rows: DataFrame) -> DataFrame:
     return rows.groupBy("src", "dst").agg(
         F.count("*").alias("seeds"),
         F.avg(F.col("base_evals") - F.col("evals")).alias("comparison_diff"),
@@ -328,8 +380,8 @@ def refine(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, queries: Data
     edges, log = checkpointed(edges.select("level", "src", "pos", "dst")), []
     base = vectors.where("embedding is not null")
 
-    def measured(turn: int, what: str, ef: int, changed: int) -> search.Graph:
-        g = search.load(edges, nodes, base, random)
+    def measured(turn: int, what: str, ef: int, changed: int) -> search.Graph | search.Shards:
+        g = search.opened(edges, nodes, base, random)
         r, e = recall_at(g, queries, truth, k, ef)
         acer = search.cost(search.traces(g, queries, ef).where("level = 0")).first()
         log.append((turn, what, ef, changed, edges.count(), r, e, acer["acer"]))
@@ -347,12 +399,10 @@ def refine(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, queries: Data
         elif isolated_share(edges.where("level = 0"), nodes) <= 0.1:
             if settings.family != "nsg":
                 true = checkpointed(pseudo_truth(g, base, settings.repair_degree, settings.train_ef))
-                found = checkpointed(search.knn_search(g, base, settings.repair_degree, max(ef, settings.repair_degree)))
-                edges = checkpointed(extended(edges, repair_edges(found, true, base, settings.repair_degree, settings.repair_target)))
-                g = search.load(edges, nodes, base, random)
+                edges = checkpointed(extended(edges, repairs(g, base, true, settings.repair_degree, max(ef, settings.repair_degree), settings.repair_target)))
+                g = search.opened(edges, nodes, base, random)
             chosen = base.join(seeds(base, 0.1), "vec_id", "left_semi") if settings.family == "nsg" else base
-            level = nodes.select("id", "level").orderBy("id").toPandas()["level"].to_numpy() if settings.family == "hnsw" else None
-            edges = checkpointed(extended(edges, local_edges(g, chosen, settings, level)))
+            edges = checkpointed(extended(edges, local_edges(g, chosen, settings)))
         g = measured(turn, "prune" if turn % 2 else "add", ef, abs(edges.count() - before))
     return edges, spark.createDataFrame(log, "round int, operation string, ef int, changed long, edges long, recall double, evaluations double, acer double")
 

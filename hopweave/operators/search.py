@@ -3,7 +3,7 @@
 A graph is a table of edges (level, src, pos, dst); pos keeps the order of a node's list, on which traces depend.
 Searches run over batches of queries in tasks that hold one shard of the graph: its adjacency (CSR) and vectors. A
 graph of up to SHARD_ROWS nodes is one shard, broadcast after a check of its size; larger ones are built and searched in
-shards (see build.py), and the shards' answers are merged.
+shards (see build.py), and the shards' answers are merged. opened() gives the one or the other.
 """
 
 from __future__ import annotations
@@ -13,16 +13,20 @@ from dataclasses import dataclass
 from heapq import heappop, heappush, heappushpop
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.iterate import checkpointed
 from .knn import matrix, ranked
 
 #: Bytes of vectors and adjacency that are broadcast at most.
 SHARD_BYTES = 256 << 20
-FOUND = "q_id long, rank int, b_id long, dist double, evaluations long"
-TRACE = "q_id long, seq int, level int, src long, dst long, dist double, adopted int"
+#: Queries that a task searches in its shard at most.
+CHUNK_ROWS = 50_000
+FOUND = "q_id long, rank int, b_id long, dist double, evaluations long, shard int"
+TRACE = "q_id long, seq int, level int, src long, dst long, dist double, adopted int, shard int"
 
 
 @dataclass
@@ -36,6 +40,9 @@ class Graph:
     #: Entry from a hash of the query's id instead.
     random_entry: bool = False
     seed: int = 1
+    shard: int = 0
+    #: The highest level of each node.
+    tops: np.ndarray | None = None
 
     def distances(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         d = self.x[nodes] - q
@@ -45,6 +52,15 @@ class Graph:
         return mixed(self.seed, q_id) % len(self.ids) if self.random_entry else self.entry
 
 
+@dataclass
+class Shards:
+    """Several shards, which stay where they lie. nodes: a row for each node with its vector and out-lists."""
+
+    nodes: DataFrame
+    count: int
+    random_entry: bool = False
+
+
 def mixed(seed: int, key: int) -> int:
     """A 64-bit hash of two integers."""
     z = (key * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03 + 0x632BE59BD9B4E019) & (1 << 64) - 1
@@ -129,7 +145,9 @@ def search(g: Graph, q: np.ndarray, q_id: int, k: int, ef: int, event: Event | N
 
 
 def load(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, random_entry: bool = False) -> Graph:
-    """A one-shard graph on the driver, after a check that it is small enough to broadcast."""
+    """A one-shard graph on the driver, after a check that it is one shard and small enough to broadcast."""
+    if (shards := _shards(nodes)) > 1:
+        raise ValueError(f"{shards} shards have no edges between them; open them with opened()")
     v = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     n = v.count()
     dim = v.select(F.max(F.size("embedding"))).first()[0] or 0
@@ -143,6 +161,33 @@ def load(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, random_entry: b
     return assemble(ids, x, table, info, random_entry)
 
 
+def _shards(nodes: DataFrame) -> int:
+    return nodes.select("shard").distinct().count() if "shard" in nodes.columns else 1
+
+
+def opened(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, random_entry: bool = False) -> Graph | Shards:
+    """What searches take: a graph of one shard on the driver, or the shards of nodes (shard, id, level, is_entry)."""
+    if (shards := _shards(nodes)) <= 1:
+        return load(edges, nodes, vectors, random_entry)
+    v = vectors.where("embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["id"])
+    lists = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("level", "pos", "dst"))).alias("l"))  # bounded lists
+    rows = nodes.select("shard", "id", F.col("level").alias("top"), "is_entry").join(v, "id").join(lists, "id", "left")
+    rows = rows.select("shard", "id", "top", "is_entry", "embedding", F.transform("l", lambda e: e["level"]).alias("levels"), F.transform("l", lambda e: e["dst"]).alias("dsts"))
+    return Shards(checkpointed(rows), shards, random_entry)
+
+
+def _unpacked(pdf: pd.DataFrame, random_entry: bool) -> Graph:
+    """The graph of one shard's rows of Shards.nodes."""
+    pdf = pdf.sort_values("id", ignore_index=True)
+    ids = pdf["id"].to_numpy(np.int64)
+    none = np.zeros(0, np.int64)
+    levels, dsts = ([none if x is None else np.asarray(x, np.int64) for x in pdf[c]] for c in ("levels", "dsts"))
+    table = pd.DataFrame({"level": np.concatenate(levels), "src": np.repeat(ids, [len(x) for x in dsts]), "dst": np.concatenate(dsts)})
+    g = assemble(ids, np.stack(pdf["embedding"].to_numpy()), table, pdf[["id", "top", "is_entry"]].rename(columns={"top": "level"}), random_entry)
+    g.shard = int(pdf["shard"].iloc[0])
+    return g
+
+
 def assemble(ids, x, table, info, random_entry: bool = False) -> Graph:
     levels = 1 + max(int(table["level"].max()) if len(table) else 0, int(info["level"].max()) if len(info) else 0)
     lists = []
@@ -152,12 +197,47 @@ def assemble(ids, x, table, info, random_entry: bool = False) -> Graph:
         dst = np.searchsorted(ids, own["dst"].to_numpy(np.int64))
         cut = np.searchsorted(src, np.arange(len(ids) + 1))
         lists.append([dst[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
-    entry = info.loc[info["is_entry"], "id"]
-    return Graph(ids, x, lists, int(np.searchsorted(ids, entry.iloc[0])) if len(entry) else 0, random_entry)
+    entry = info.loc[info["is_entry"].astype(bool), "id"]
+    tops = np.zeros(len(ids), np.int64)
+    tops[np.searchsorted(ids, info["id"].to_numpy(np.int64))] = info["level"].to_numpy(np.int64)
+    return Graph(ids, x, lists, int(np.searchsorted(ids, entry.iloc[0])) if len(entry) else 0, random_entry, tops=tops)
+
+
+def _dealt(s: Shards, queries: DataFrame, schema: str, each: Callable, home: bool, more: tuple[str, ...] = ()) -> DataFrame:
+    """_over for shards: each task holds one of them and a chunk of the queries."""
+    own = queries.where("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), *more)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    chunks = max(-(-own.count() // CHUNK_ROWS), -(-cores // s.count))
+    if "shard" in more:
+        asked = own
+    elif home:
+        asked = own.join(s.nodes.select(F.col("id").alias("vec_id"), "shard"), "vec_id")
+    else:
+        asked = own.join(F.broadcast(s.nodes.select("shard").distinct()))  # a row for each shard
+    asked = asked.withColumn("home", F.col("shard") + 0).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)))
+    held = s.nodes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    random_entry, names = s.random_entry, [c.split()[0] for c in schema.split(", ")]
+    kinds = {c.split()[0]: {"long": "Int64", "int": "Int32", "double": "float64"}[c.split()[1]] for c in schema.split(", ")}
+    extra = [c for c in more if c != "shard"]
+
+    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(q) and len(v):
+            g = _unpacked(v, random_entry)
+            q = q.sort_values("vec_id")
+            rows = [r for i, x, *rest in zip(q["vec_id"], q["embedding"], *(q[c] for c in extra), strict=True) for r in each(g, int(i), np.asarray(x), *rest)]
+        return pd.DataFrame(rows, columns=names).astype(kinds)
+
+    return asked.drop("shard").groupBy("home", "chunk").cogroup(held.groupBy("shard", "chunk")).applyInPandas(run, schema)
 
 
-def _over(g: Graph, queries: DataFrame, schema: str, each: Callable) -> DataFrame:
-    """each(graph, q_id, vector) -> rows, for every query, in batches; the graph is broadcast."""
+def _over(g: Graph | Shards, queries: DataFrame, schema: str, each: Callable, home: bool = False) -> DataFrame:
+    """each(graph, q_id, vector) -> rows, for every query, in batches; the graph is broadcast.
+
+    Of several shards, each sees every query, or with home=True (queries are nodes) those that are nodes of its own.
+    """
+    if isinstance(g, Shards):
+        return _dealt(g, queries, schema, each, home)
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast(g)
     names = [c.split()[0] for c in schema.split(", ")]
@@ -177,30 +257,48 @@ def _over(g: Graph, queries: DataFrame, schema: str, each: Callable) -> DataFram
     return own.repartition(spark.sparkContext.defaultParallelism, "vec_id").mapInArrow(run, schema)
 
 
-def knn_search(g: Graph, queries: DataFrame, k: int, ef: int, exclude_self: bool = False, disabled: frozenset = frozenset()) -> DataFrame:
+def knn_search(g: Graph | Shards, queries: DataFrame, k: int, ef: int, exclude_self: bool = False, disabled: frozenset = frozenset()) -> DataFrame:
     """q_id, rank (1: nearest), b_id, dist, evaluations. Fewer than k rows if ef < k or the graph does not reach more.
 
     exclude_self drops the query's own id from the answer. disabled: (src, dst) ids of edges that are not followed.
+    Several shards are all searched with ef and their answers merged; evaluations are then those of all shards.
     """
-    off = frozenset((int(np.searchsorted(g.ids, a)), int(np.searchsorted(g.ids, b))) for a, b in disabled)
+    found = shard_answers(g, queries, k, ef, exclude_self, disabled)
+    return merged_answers(found, k) if isinstance(g, Shards) else found.drop("shard")
+
+
+def shard_answers(g: Graph | Shards, queries: DataFrame, k: int, ef: int, exclude_self: bool = False, disabled: frozenset = frozenset()) -> DataFrame:
+    """knn_search's rows of each shard before they are merged, with the shard. A shard without answer has a null b_id."""
+    placed: dict[int, frozenset] = {}
+    several = isinstance(g, Shards)
 
     def each(g: Graph, q_id: int, q: np.ndarray):
-        found, count, _ = search(g, q, q_id, ef if exclude_self else k, ef, disabled=off)
+        if g.shard not in placed:
+            placed[g.shard] = frozenset((at[a], at[b]) for a, b in disabled if a in at and b in at) if disabled and (at := {int(x): i for i, x in enumerate(g.ids)}) else frozenset()
+        found, count, _ = search(g, q, q_id, ef if exclude_self else k, ef, disabled=placed[g.shard])
         rows = [(d, int(g.ids[v])) for d, v in found if not exclude_self or g.ids[v] != q_id][:k]
-        return [(q_id, i + 1, b, d, count) for i, (d, b) in enumerate(rows)]
+        return [(q_id, i + 1, b, d, count, g.shard) for i, (d, b) in enumerate(rows)] or ([(q_id, 0, None, None, count, g.shard)] if several else [])
 
     return _over(g, queries, FOUND, each)
 
 
-def traces(g: Graph, queries: DataFrame, ef: int) -> DataFrame:
-    """q_id, seq, level, src, dst, dist, adopted: the edge by which each node was first met, in order.
+def merged_answers(parts: DataFrame, k: int) -> DataFrame:
+    """q_id, rank, b_id, dist, evaluations (of all shards) of shard_answers; parts are computed once."""
+    parts = checkpointed(parts)
+    cost = parts.groupBy("q_id", "shard").agg(F.max("evaluations").alias("e")).groupBy("q_id").agg(F.sum("e").alias("evaluations"))
+    return merged(parts.where("b_id is not null").select("q_id", "b_id", "dist"), k).join(cost, "q_id").select("q_id", "rank", "b_id", "dist", "evaluations")
+
+
+def traces(g: Graph | Shards, queries: DataFrame, ef: int) -> DataFrame:
+    """q_id, seq, level, src, dst, dist, adopted, shard: the edge by which each node was first met, in order.
 
     Level-0 rows of a query number its evaluations less the entry's. On upper levels every scanned neighbour is a row.
+    A query has a trace in every shard, and seq counts in each.
     """
 
     def each(g: Graph, q_id: int, q: np.ndarray):
         rows = []
-        search(g, q, q_id, ef, ef, lambda level, src, v, d, adopted: rows.append((q_id, len(rows), level, int(g.ids[src]), int(g.ids[v]), d, adopted)))
+        search(g, q, q_id, ef, ef, lambda level, src, v, d, adopted: rows.append((q_id, len(rows), level, int(g.ids[src]), int(g.ids[v]), d, adopted, g.shard)))
         return rows
 
     return _over(g, queries, TRACE, each)
@@ -225,10 +323,11 @@ def edge_seeds(trace: DataFrame) -> DataFrame:
 def cost(trace: DataFrame) -> DataFrame:
     """One row: evaluations (mean), acer (mean of adopted / evaluated), acer_hcnng (sum of adopted / evaluated^2).
 
-    In the last, the entry counts as adopted and evaluated.
+    In the last, the entry of each shard counts as adopted and evaluated.
     """
-    each = trace.groupBy("q_id").agg(F.sum("adopted").alias("a"), F.count("*").alias("n"))
-    return each.agg(F.avg("n").alias("evaluations"), F.avg(F.col("a") / F.col("n")).alias("acer"), F.sum((F.col("a") + 1) / ((F.col("n") + 1) * (F.col("n") + 1))).alias("acer_hcnng"))
+    each = trace.groupBy("q_id").agg(F.sum("adopted").alias("a"), F.count("*").alias("n"), F.count_distinct("shard").alias("s"))
+    n = F.col("n") + F.col("s")
+    return each.agg(F.avg("n").alias("evaluations"), F.avg(F.col("a") / F.col("n")).alias("acer"), F.sum((F.col("a") + F.col("s")) / (n * n)).alias("acer_hcnng"))
 
 
 def merged(parts: DataFrame, k: int) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Search traces as trees: a row (q_id, seq, src, dst, dist, adopted) is the link from a node to its parent src."""
+"""Search traces as trees: a row (q_id, seq, src, dst, dist, adopted, shard) is the link from a node to its parent src.
+
+A query has a tree in each shard of the graph; nodes of two trees are never the same.
+"""
 
 from __future__ import annotations
 
@@ -13,14 +16,14 @@ from .refine import deficit_edges
 
 
 def nodes(trace: DataFrame) -> DataFrame:
-    """q_id, node, parent, dist, chosen; the root has no parent."""
-    rows = trace.select("q_id", F.col("dst").alias("node"), F.col("src").alias("parent"), "dist", F.col("adopted").alias("chosen"))
-    roots = trace.withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy("seq"))).where("r = 1")
-    return rows.unionByName(roots.select("q_id", F.col("src").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("dist"), F.lit(1).alias("chosen")))
+    """q_id, shard, node, parent, dist, chosen; the root of each tree has no parent."""
+    rows = trace.select("q_id", "shard", F.col("dst").alias("node"), F.col("src").alias("parent"), "dist", F.col("adopted").alias("chosen"))
+    roots = trace.withColumn("r", F.row_number().over(Window.partitionBy("q_id", "shard").orderBy("seq"))).where("r = 1")
+    return rows.unionByName(roots.select("q_id", "shard", F.col("src").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("dist"), F.lit(1).alias("chosen")))
 
 
 def sizes(trace: DataFrame) -> DataFrame:
-    """q_id, nodes, leaves."""
+    """q_id, nodes, leaves, over all trees of a query."""
     t = nodes(trace)
     inner = t.where("parent is not null").select("q_id", F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(1))
     return t.join(inner, ["q_id", "node"], "left").groupBy("q_id").agg(F.count("*").alias("nodes"), F.sum(F.when(F.col("inner").isNull(), 1).otherwise(0)).alias("leaves"))
@@ -79,20 +82,20 @@ def shortcuts(paths: DataFrame, longest: int = 8, least_visits: int = 2) -> Data
 
 
 def local_matrix(trace: DataFrame, edges: DataFrame, num: int = 10) -> DataFrame:
-    """q_id, src, dst, i, j: links among each trace's `num` nearest nodes, with their places in that order."""
-    order = Window.partitionBy("q_id").orderBy("dist", "node")
-    near = nodes(trace).where("dist is not null").withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < num).select("q_id", "node", "i")
-    a = near.select("q_id", F.col("node").alias("src"), "i")
-    b = near.select("q_id", F.col("node").alias("dst"), F.col("i").alias("j"))
-    return a.join(edges.select("src", "dst").distinct(), "src").join(b, ["q_id", "dst"]).select("q_id", "src", "dst", "i", "j")
+    """q_id, src, dst, i, j, shard: links among each tree's `num` nearest nodes, with their places in that order."""
+    order = Window.partitionBy("q_id", "shard").orderBy("dist", "node")
+    near = nodes(trace).where("dist is not null").withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < num).select("q_id", "shard", "node", "i")
+    a = near.select("q_id", "shard", F.col("node").alias("src"), "i")
+    b = near.select("q_id", "shard", F.col("node").alias("dst"), F.col("i").alias("j"))
+    return a.join(edges.select("src", "dst").distinct(), "src").join(b, ["q_id", "shard", "dst"]).select("q_id", "src", "dst", "i", "j", "shard")
 
 
 def local_links(trace: DataFrame, edges: DataFrame, num: int = 10, jumps: int = 8, most: int = 5) -> DataFrame:
-    """q_id, src, dst: up to `most` directed links that the `num` nearest nodes of each trace lack (see refine)."""
-    order = Window.partitionBy("q_id").orderBy("dist", "node")
-    near = nodes(trace).where("dist is not null").withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < num).select("q_id", "node", "i")
-    links = local_matrix(trace, edges, num).groupBy("q_id").agg(F.collect_list(F.struct("i", "j")).alias("links"))  # num * num
-    core = near.groupBy("q_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda s: s["node"]).alias("core"))
+    """q_id, src, dst: up to `most` directed links that the `num` nearest nodes of each tree lack (see refine)."""
+    order = Window.partitionBy("q_id", "shard").orderBy("dist", "node")
+    near = nodes(trace).where("dist is not null").withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < num).select("q_id", "shard", "node", "i")
+    links = local_matrix(trace, edges, num).groupBy("q_id", "shard").agg(F.collect_list(F.struct("i", "j")).alias("links"))  # num * num
+    core = near.groupBy("q_id", "shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda s: s["node"]).alias("core"))
 
     def run(batches):
         for pdf in batches:
@@ -104,4 +107,4 @@ def local_links(trace: DataFrame, edges: DataFrame, num: int = 10, jumps: int =
                 rows += [(q_id, core[u], core[v]) for u, v in deficit_edges(a, jumps, most, both_ways=False)]
             yield pd.DataFrame(rows, columns=["q_id", "src", "dst"])
 
-    return core.join(links, "q_id", "left").mapInPandas(run, "q_id long, src long, dst long")
+    return core.join(links, ["q_id", "shard"], "left").mapInPandas(run, "q_id long, src long, dst long")

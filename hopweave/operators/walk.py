@@ -63,17 +63,18 @@ def pruned_lists(candidates: DataFrame, vectors: DataFrame, most: int, alpha: fl
 def beam_rounds(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entry: DataFrame, ef: int) -> DataFrame:
     """q_id, found (ascending structs of dist and node), evaluations: best-first search as rounds of joins.
 
+    entry: a row (vec_id) for each shard; a query's searches from all of them are merged.
     All queries expand one node a round; neighbours are offered in list order by a fold over the round's array. Gives
     what search.beam gives, without holding the graph in one place; a round costs a job, so it suits small ef.
     """
     v = vectors.select(F.col("vec_id").alias("node"), F.col("embedding").alias("_v"))
     q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("_q"))
     near = metrics.squared_l2(F.col("_q"), F.col("_v"))
-    start = F.broadcast(entry.select(F.col("vec_id").alias("node")))  # one row
-    first = q.join(start).join(v, "node").select("q_id", "node", near.alias("d"))
+    start = F.broadcast(entry.select(F.col("vec_id").alias("node")))  # one row a shard
+    first = q.join(start).join(v, "node").select("q_id", F.col("node").alias("root"), "node", near.alias("d"))
     held = lambda d, i: F.array(F.struct(d.alias("d"), i.alias("i")))
     # open nodes hold the negative id: of equal distances the larger id is the least
-    state = first.select("q_id", held(F.col("d"), F.col("node")).alias("top"), held(F.col("d"), -F.col("node")).alias("open"), F.array("node").alias("seen"), F.lit(False).alias("done"))
+    state = first.select("q_id", "root", held(F.col("d"), F.col("node")).alias("top"), held(F.col("d"), -F.col("node")).alias("open"), F.array("node").alias("seen"), F.lit(False).alias("done"))
     links = edges.select(F.col("src").alias("at"), "pos", F.col("dst").alias("node"))
 
     def offered(acc, x):
@@ -89,10 +90,11 @@ def beam_rounds(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entry:
         state = checkpointed(state.withColumn("done", over))
         live = state.where("not done")
         if live.isEmpty():
-            return state.select("q_id", F.transform(F.array_sort("top"), lambda t: F.struct(t["d"].alias("dist"), t["i"].alias("node"))).alias("found"), F.size("seen").alias("evaluations"))
+            each = state.groupBy("q_id").agg(F.flatten(F.collect_list("top")).alias("top"), F.sum(F.size("seen")).cast("int").alias("evaluations"))  # ef a shard
+            return each.select("q_id", F.transform(F.slice(F.array_sort("top"), 1, ef), lambda t: F.struct(t["d"].alias("dist"), t["i"].alias("node"))).alias("found"), "evaluations")
         popped = live.withColumn("at", -nearest["i"]).withColumn("open", F.array_except("open", F.array(nearest)))
-        around = popped.select("q_id", "at", "seen").join(links, "at").where(~F.array_contains("seen", F.col("node")))
-        fresh = around.join(v, "node").join(q, "q_id").groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node", near.alias("d")))).alias("fresh"))
-        met = popped.join(fresh, "q_id", "left").withColumn("fresh", F.coalesce("fresh", F.array().cast("array<struct<pos:int,node:bigint,d:double>>")))
+        around = popped.select("q_id", "root", "at", "seen").join(links, "at").where(~F.array_contains("seen", F.col("node")))
+        fresh = around.join(v, "node").join(q, "q_id").groupBy("q_id", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "node", near.alias("d")))).alias("fresh"))
+        met = popped.join(fresh, ["q_id", "root"], "left").withColumn("fresh", F.coalesce("fresh", F.array().cast("array<struct<pos:int,node:bigint,d:double>>")))
         folded = met.withColumn("acc", F.aggregate("fresh", F.struct("top", "open"), offered))
-        state = folded.select("q_id", "acc.top", "acc.open", F.concat("seen", F.transform("fresh", lambda x: x["node"])).alias("seen"), "done").union(state.where("done"))
+        state = folded.select("q_id", "root", "acc.top", "acc.open", F.concat("seen", F.transform("fresh", lambda x: x["node"])).alias("seen"), "done").union(state.where("done"))

@@ -710,7 +710,7 @@ def _parts(spark, sf, family: str, **params):
 
 def _loaded(spark, sf, family: str = "nsg", **params):
     base, edges, nodes = _parts(spark, sf, family, **(params or {"r": 16, "lc": 48}))
-    return base, edges, nodes, search.load(edges, nodes, base, family == "hcnng")
+    return base, edges, nodes, search.opened(edges, nodes, base, family == "hcnng")
 
 
 @query()
@@ -835,7 +835,7 @@ def hop_deficit_edges(spark, sf):
 def connectivity_repair(spark, sf):
     base, _, _, g = _loaded(spark, sf)
     true = checkpointed(refine.pseudo_truth(g, base, 20, 200))
-    return refine.repair_edges(checkpointed(search.knn_search(g, base, 20, 20)), true, base, 20)
+    return refine.repairs(g, base, true, 20, 20)
 
 
 @query()
