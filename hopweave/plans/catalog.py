@@ -435,14 +435,10 @@ def _bfs(edges: str) -> str:
 _HOPS = GRAPH.replace("v AS", "RECURSIVE v AS", 1) + ", " + _bfs("g").removeprefix("RECURSIVE ") + ", hh AS (SELECT source, id, min(hop) AS hop FROM h GROUP BY 1, 2)"
 
 
-def _ten(nodes: DataFrame) -> DataFrame:
-    return nodes.where("id < 10")
-
-
 @query(f"WITH {_HOPS} SELECT source, id, hop FROM hh")
 def bfs_hops(spark, sf):
     _, e, n = _graph(spark, sf)
-    return network.hops(e, _ten(n), most=8)
+    return network.hops(e, n.select("id").orderBy("id").limit(10))
 
 
 @query(f"WITH {_HOPS} SELECT round(avg(hop), 6) AS average_path, max(hop)::BIGINT AS diameter FROM hh WHERE hop > 0")
