@@ -40,6 +40,11 @@ def _asked(base: DataFrame) -> DataFrame:
     return base.where("vec_id % 50 = 0")
 
 
+def _seeds(base: DataFrame, share: float) -> DataFrame:
+    """The vectors whose searches refinement learns from."""
+    return base.join(vectors.seeds(base, share), "vec_id", "left_semi")
+
+
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vectors, edges of the exact 10-nearest-neighbour graph, nodes)."""
     base = _base(spark, sf)
@@ -771,7 +776,7 @@ def beam_trace(spark, sf):
 @query()
 def beam_edge_stats(spark, sf):
     base, edges, _, g = _loaded(spark, sf)
-    return search.aligned(edges, search.edge_statistics(search.traces(g, _asked(base), 32)))
+    return search.aligned(edges, search.edge_statistics(search.traces(g, _seeds(base, refine.FAMILY["nsg"].seed_share), 32)))
 
 
 @query()
@@ -840,7 +845,7 @@ def hop_reachability(spark, sf):
 @query()
 def hop_deficit_edges(spark, sf):
     base, _, _, g = _loaded(spark, sf)
-    return refine.local_edges(g, _asked(base), refine.settings_for("nsg", ef_max=200, jump_max=2))
+    return refine.local_edges(g, _seeds(base, 0.1), refine.settings_for("nsg", ef_max=200, jump_max=2))
 
 
 @query()
