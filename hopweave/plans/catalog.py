@@ -615,6 +615,14 @@ def edge_sample(spark, sf):
     return refine.sampled_edges(edges, 0.05)
 
 
+@query()
+def adopted_edge_sample(spark, sf):
+    """A sample of the built graph's edges that seeds' traces adopted."""
+    base, edges, _, g = _loaded(spark, sf)
+    met = search.edge_seeds(search.traces(g, _seeds(base, refine.FAMILY["nsg"].seed_share), 32)).select("level", "src", "dst").distinct()
+    return refine.sampled_edges(edges.join(met, ["level", "src", "dst"], "left_semi"), 0.05).select("level", "src", "pos", "dst")
+
+
 # evaluation
 
 

@@ -15,3 +15,12 @@ def test_statistics_and_links_are_over_seeds(spark):
     assert got == want
     local = refine.local_edges(g, of(0.1), refine.settings_for("nsg", ef_max=200, jump_max=2))
     assert sorted(map(tuple, catalog.QUERIES["hop_deficit_edges"](spark, SF).collect())) == sorted(map(tuple, local.collect()))
+
+
+def test_sampled_edges_are_adopted_edges(spark):
+    base, edges, _, g = catalog._loaded(spark, SF)
+    trace = search.traces(g, base.join(vectors.seeds(base, 0.2), "vec_id", "left_semi"), 32)
+    adopted = {(r.src, r.dst) for r in trace.where("adopted = 1").collect()}
+    got = {(r.src, r.dst) for r in catalog.QUERIES["adopted_edge_sample"](spark, SF).collect()}
+    assert got and got <= adopted and len(got) < 0.1 * len(adopted)
+    assert got <= {(r.src, r.dst) for r in edges.collect()}
