@@ -52,7 +52,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         f = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
 class BKForest:
@@ -153,11 +153,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: one row of each component's smallest id stays, and all rows with a null id."""
-    found = near_duplicates(docs.where("doc_id is not null")).groupBy("doc_id").agg(F.min("component_id").alias("_component"))
-    ids = found.where("doc_id = _component").select("doc_id")
-    kept = docs.where("doc_id is not null").select("doc_id", F.struct(*docs.columns).alias("_row")).join(ids, "doc_id", "left_semi")
-    # of rows that repeat the id, one by its text's hash; they lie together already
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("_row.text"))
+    """docs without near-duplicates: one row of each component's smallest id stays, and all rows with a null id.
+
+    Components are of fingerprints, and a row is known by its id and text: ids may repeat with other texts.
+    """
+    text = F.xxhash64(F.col("text").cast("string"))
+    own = keyed(docs.where("doc_id is not null")).withColumn("_text", text)
+    prints = written(own.mapInArrow(_fingerprints, "doc_id long, fp long, _text long"), "simhash")
+    points = prints.select("fp").distinct().withColumn("rep", F.col("fp")).checkpoint()
+    found = connected_components(links(points))
+    named = points.join(found, points["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    first = prints.join(named, "fp").groupBy("component").agg(F.min(F.struct("doc_id", "fp", "_text")).alias("m")).select("m.doc_id", "m._text")
+    kept = docs.where("doc_id is not null").select("doc_id", text.alias("_text"), F.struct(*docs.columns).alias("_row")).join(first, ["doc_id", "_text"], "left_semi")
+    # of rows that repeat id and text, one; they lie together already
+    order = Window.partitionBy("doc_id", "_text").orderBy("_text")
     kept = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row.*")
     return kept.union(docs.where("doc_id is null"))
