@@ -888,8 +888,7 @@ def edge_impact(spark, sf):
 def _refined(spark, sf, family: str, **params):
     base, edges, nodes = _parts(spark, sf, family, **params)
     truth = checkpointed(knn.exact(base, _asked(base), 20))
-    own = refine.settings_for(family, rounds=2, train_ef=200, ef_max=100, ef_cap=200, target_recall=0.9, coarse_step=60, fine_step=30)
-    return refine.refine(edges, nodes, base, _asked(base), truth, own)
+    return refine.refine(edges, nodes, base, _asked(base), truth, refine.FAMILY[family])
 
 
 @query()
