@@ -2,11 +2,12 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts elsewhere. Only suffixes that can start such a string
 are merged: in every LENGTH-byte window the window's smallest K-gram hash (rightmost of equals) is its anchor, which
-equal windows share at the same offset. Anchors whose surroundings occur once end there. For the rest, the shards'
-stretches around one anchor form a collection whose suffix order is found by interleave refinement: at the anchor from
-the first symbols on, block by block, and then backwards a byte at a time, where the next interleave is the stable
-partition of the present one by the bytes before it (the collection's Burrows-Wheeler column) and common prefixes
-follow from those of the present interleave. Blocks with a common prefix of LENGTH are the repeated intervals.
+equal windows share at the same offset. Anchors whose surroundings occur once end there. For the rest, the stretches
+around one anchor form a collection, whose shards' columns of preceding bytes are merged by interleave refinement: the
+first interleave is shard after shard, all suffixes being empty; the next one, a byte further left, is the stable
+partition of the present one by the bytes before it (the collection's Burrows-Wheeler column), and its common prefixes
+follow from those of the present one. No suffixes are sorted. Neighbours with a common prefix of LENGTH are the repeated
+intervals. Several lengths are read from one merge: anchors belong to windows of the least.
 """
 
 from __future__ import annotations
@@ -24,18 +25,23 @@ from pyspark.sql import functions as F
 from .common import shuffle_width, small_batches, written
 
 LENGTH = 400
+#: A passage that repeats: PASSAGE bytes or more in a row that stand elsewhere, with WORDS words or LENGTH bytes.
+PASSAGE, WORDS = 200, 50
 #: Window starts that are anchored together; longer texts take several turns.
 TURN = 1 << 20
 #: Stretches of one anchor beyond this are compared window by window over the cluster.
-HOT = 20_000
-#: Stretches that one task merges, about.
-SHARD = 20_000
+HOT = 2_000
+#: Stretches that one task merges, about, and shards of documents whose columns it merges.
+SHARD, PARTS = 20_000, 64
 
 
 class Shape:
-    """Sizes that follow from the string's length."""
+    """Sizes that follow from the strings' lengths, of which the least has the anchors."""
 
-    def __init__(self, length: int = LENGTH):
+    def __init__(self, *lengths: int):
+        self.lengths = tuple(sorted(set(lengths or (LENGTH,))))
+        length, self.most = self.lengths[0], self.lengths[-1]
+        self.turn = TURN
         self.length = length
         self.gram = max(1, length * 4 // 25)
         self.near = (length - self.gram) // 2  # offsets up to this have the right seed, others the left one
@@ -72,14 +78,16 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 :][:n])
 
 
-def stretches(data: bytes, ends: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Texts one after another, ending at ends -> (first window, windows, offset of the anchor from it, side, seed, digest).
+def stretches(data: bytes, ends: np.ndarray, starts: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
+    """Parts one after another, ending at ends -> (first window, windows, bytes, offset of the anchor, side, seed, digest).
 
-    side 0: anchor at most `near` behind the window's start; seeds are hashes of what all such windows hold.
+    starts: how many windows of each part are its own; those after them only lend their bytes. Bytes reach to the end of
+    the last window of the greatest length, or of the part. side 0: anchor at most `near` behind the window's start;
+    seeds are hashes of what all such windows hold.
     """
     length, gram, near = shape.length, shape.gram, shape.near
     raw = np.frombuffer(data, np.uint8)
-    none = tuple(np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 2)
+    none = tuple(np.zeros(0, t) for t in (np.int64,) * 5 + (np.uint64,) * 2)
     if len(raw) < length:
         return none
     grams, right, left = _gram_hashes(raw, [gram, length - near, near + 1 + gram])
@@ -88,7 +96,7 @@ def stretches(data: bytes, ends: np.ndarray, shape: Shape) -> tuple[np.ndarray,
     anchor = (mask - (_sliding_min(key, length - gram + 1) & mask)).astype(np.int64)
     over = np.zeros(len(raw) + 1, np.int32)  # windows that would run into the next text
     sizes = np.diff(np.concatenate(([0], ends)))
-    np.add.at(over, np.maximum(ends - length + 1, ends - sizes), 1)
+    np.add.at(over, ends - sizes + np.minimum(np.maximum(sizes - length + 1, 0), starts), 1)
     np.add.at(over, ends, -1)
     anchor[np.cumsum(over)[: len(anchor)] > 0] = -1
     cut = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
@@ -102,9 +110,10 @@ def stretches(data: bytes, ends: np.ndarray, shape: Shape) -> tuple[np.ndarray,
     offset = np.concatenate((at[is0], at[is1])) - first
     side = np.repeat([0, 1], [is0.sum(), is1.sum()])
     seed = np.concatenate((right[at[is0]], left[at[is1] - near - 1] ^ np.uint64(0x5851F42D4C957F2D)))
+    stop = np.minimum(first + count + shape.most - 1, ends[np.searchsorted(ends, first, side="right")])
     view = memoryview(data)
-    digest = np.fromiter((xxhash.xxh3_64_intdigest(view[f : f + c + length - 1], seed=o) for f, c, o in zip(first.tolist(), count.tolist(), offset.tolist(), strict=True)), np.uint64, len(first))
-    return first, count, offset, side, seed, digest
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(view[f:e], seed=o) for f, e, o in zip(first.tolist(), stop.tolist(), offset.tolist(), strict=True)), np.uint64, len(first))
+    return first, count, stop - first, offset, side, seed, digest
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -113,7 +122,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("k1"), F.xxhash64(F.col("text").cast("string")).alias("k2"), F.col("text").cast("string").alias("text"))
 
 
-OCCURRENCE = "k1 long, k2 long, lo long, n int, off int, side int, seed long, ctx long"
+OCCURRENCE = "k1 long, k2 long, lo long, n int, size int, off int, side int, seed long, ctx long"
 
 
 def _occurrences(shape: Shape):
@@ -122,22 +131,23 @@ def _occurrences(shape: Shape):
     def turn(keys: list[tuple[int, int, int]], parts: list[bytes]) -> pa.RecordBatch:
         """keys: (k1, k2, first byte) of each part."""
         ends = np.cumsum([len(p) for p in parts])
-        first, count, offset, side, seed, digest = stretches(b"".join(parts), ends, shape)
+        first, count, size, offset, side, seed, digest = stretches(b"".join(parts), ends, np.full(len(parts), shape.turn), shape)
         own = np.searchsorted(ends, first, side="right")
         k = np.array(keys, np.int64).reshape(-1, 3)[own]
         lo = first - np.concatenate(([0], ends))[own] + k[:, 2]
-        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(lo), pa.array(count, pa.int32()), pa.array(offset, pa.int32()), pa.array(side, pa.int32()), pa.array(seed.view(np.int64)), pa.array(digest.view(np.int64))], names)
+        ints = [pa.array(x, pa.int32()) for x in (count, size, offset, side)]
+        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(lo), *ints, pa.array(seed.view(np.int64)), pa.array(digest.view(np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, parts, held = [], [], 0
         for b in batches:
             for k1, k2, text in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("text"), strict=True):
                 data = (text.as_py() or "").encode()
-                for at in range(0, len(data) - shape.length + 1, TURN):
-                    part = data[at : at + TURN + shape.length - 1]
+                for at in range(0, len(data) - shape.length + 1, shape.turn):
+                    part = data[at : at + shape.turn + shape.most - 1]
                     keys.append((k1, k2, at)), parts.append(part)
                     held += len(part)
-                    if held >= TURN:
+                    if held >= shape.turn:
                         yield turn(keys, parts)
                         keys, parts, held = [], [], 0
         if parts:
@@ -146,221 +156,237 @@ def _occurrences(shape: Shape):
     return run
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal leading bytes of big-endian 8-byte symbols."""
-    x = a ^ b
-    out = np.zeros(len(x), np.int64)
-    for k in range(1, 9):
-        out += (x >> np.uint64(64 - 8 * k)) == 0
-    return out
+def interleaves(group: np.ndarray, data: list[bytes], off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each place, from the last to the first: (place, order of the rows that hold it, common prefix with the row before).
 
+    Places are counted from the anchor (off: bytes of a row before it). Rows are in order of group and of their suffixes
+    from the place on; prefixes are -1 between groups. The step from one place to the next looks at one byte a row.
+    """
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    start, end = -off, size - off
+    at = np.cumsum(size) - size + off  # where each row's anchor is in the bytes of all
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    rank = np.unique(group, return_inverse=True)[1]
+    rank = rank.astype(np.uint16 if rank.max(initial=0) < 1 << 16 else np.int64)
+    entering = np.argsort(end, kind="stable")[::-1]
+    due, entered = end[entering], 0
+    order, prefix = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for place in range(int(end.max(initial=0)) - 1, int(start.min(initial=0)) - 1, -1):
+        upto = int(np.searchsorted(-due, -place, side="left"))  # rows that end here: their suffixes are still empty
+        if upto > entered:
+            new = np.sort(entering[entered:upto])  # shard after shard
+            entered = upto
+            both = np.concatenate((new, order))
+            old = np.concatenate((np.zeros(len(new), np.int64), np.maximum(prefix, 0)))
+            merge = np.argsort(rank[both], kind="stable")
+            order, prefix = both[merge], old[merge]
+            prefix[np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))] = -1
+        stay = np.flatnonzero(start[order] <= place)
+        rows = order[stay]
+        if not len(rows):
+            order, prefix = rows, prefix[:0]
+            continue
+        column = raw[at[rows] + place]  # the bytes before the suffixes of the present interleave
+        by = np.argsort(column, kind="stable")
+        by = by[np.argsort(rank[rows[by]], kind="stable")]
+        moved, byte, alike = rows[by], column[by], rank[rows[by]]
+        same = (alike[1:] == alike[:-1]) & (byte[1:] == byte[:-1])
+        fresh = np.where(np.concatenate(([True], alike[1:] != alike[:-1])), -1, 0)
+        if same.any():
+            was = stay[by]
+            pairs = np.stack((was[:-1][same] + 1, was[1:][same] + 1), axis=1).ravel()
+            fresh[1:][same] = np.minimum.reduceat(np.append(prefix, 0), pairs)[::2] + 1
+        order, prefix = moved, fresh
+        yield place, order, prefix
+
+
+def repeated_windows(group: np.ndarray, data: list[bytes], off: np.ndarray, count: np.ndarray, lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each length and stretch the windows (0: its first) whose string another stretch of its group holds at the same offset."""
+    found: list[tuple[list, list]] = [([], []) for _ in lengths]
+    for place, order, prefix in interleaves(group, data, off):
+        for (rows, windows), length in zip(found, lengths, strict=True):
+            alike = prefix >= length
+            if not alike.any():
+                continue
+            interval = np.cumsum(~alike)
+            window = off[order] + place
+            own = window < count[order]  # after its last window a row only lends its bytes
+            several = (np.bincount(interval[own], minlength=interval[-1] + 1) > 1)[interval] & own
+            rows.append(order[several]), windows.append(window[several])
+    out = []
+    for rows, windows in found:
+        row, window = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, windows))
+        by = np.lexsort((window, row))
+        out.append(np.split(window[by], np.searchsorted(row[by], np.arange(1, len(data)))))
+    return out
 
-def interleaved(group: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(order by group and string, common prefix with the row before; -1 between groups), by refinement.
 
-    Each turn looks at the next symbol of the rows that still share all before it, and splits their blocks by it.
-    """
-    n = len(strings)
-    size = np.fromiter(map(len, strings), np.int64, n)
-    wide = max(1, -(-int(size.max(initial=0)) // 8))
-    order = np.argsort(group, kind="stable")
-    prefix = np.where(np.concatenate(([True], group[order][1:] != group[order][:-1])), -1, np.int64(1 << 40))[:n]
-    symbols = np.zeros((n, wide * 8), np.uint8)
-    for i, s in enumerate(strings):
-        symbols[i, : len(s)] = np.frombuffer(s, np.uint8)
-    symbols = symbols.view(">u8").astype(np.uint64)
-    for h in range(wide):
-        whole = prefix == 1 << 40  # same block as the row before
-        active = np.flatnonzero(whole | np.append(whole[1:], False))
-        if not len(active):
-            break
-        block = np.cumsum(~whole)[active]
-        rows = order[active]
-        now = np.lexsort((symbols[rows, h], block))
-        rows = rows[now]
-        order[active] = rows
-        s = symbols[rows, h]
-        split = (block[1:] == block[:-1]) & (s[1:] != s[:-1])
-        prefix[active[1:][split]] = 8 * h + _common(s[1:][split], s[:-1][split])
-    limit = np.minimum(size[order], np.concatenate(([0], size[order][:-1])))
-    return order, np.where(prefix < 0, -1, np.minimum(prefix, limit))
-
-
-def repeated_windows(group: np.ndarray, data: list[bytes], off: np.ndarray, base: np.ndarray, count: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each stretch the windows (0: its first) whose string another stretch of its group holds at the same offset.
-
-    off: bytes of the stretch before the anchor; base: where its order starts, counted back from the anchor.
-    """
-    n = len(data)
-    cut = off - base
-    order, prefix = interleaved(group, [d[max(c, 0) :] for d, c in zip(data, cut.tolist(), strict=True)])
-    steps = int(cut.max(initial=-1)) + 1
-    before = np.zeros((n, max(1, steps)), np.uint8)  # bytes before the start, nearest first
-    for i, (d, c) in enumerate(zip(data, cut.tolist(), strict=True)):
-        if c > 0:
-            before[i, :c] = np.frombuffer(d[:c], np.uint8)[::-1]
-    found: list[list[np.ndarray]] = [[], []]
-    for step in range(steps):
-        equal = prefix >= length
-        equal |= np.append(equal[1:], False)
-        rows = order[equal]
-        inside = cut[rows] - step < count[rows]
-        found[0].append(rows[inside]), found[1].append((cut[rows] - step)[inside])
-        # the next interleave: rows that reach on, stably by group and the byte before
-        reach = cut[order] > step
-        alike = np.cumsum(prefix < 0)
-        key = alike * 256 + before[order, step]
-        place = np.flatnonzero(reach)
-        place = place[np.argsort(key[place], kind="stable")]
-        if not len(place):
-            break
-        k = key[place]
-        same = k[1:] == k[:-1]
-        new = np.where(np.concatenate(([True], alike[place][1:] != alike[place][:-1])), -1, 0)
-        left, right = place[:-1][same] + 1, place[1:][same] + 1
-        if len(left):
-            padded = np.append(prefix, 0)
-            pairs = np.stack([left, right], axis=1).ravel()
-            new[1:][same] = np.minimum.reduceat(padded, pairs)[::2] + 1
-        order, prefix = order[place], new
-    if not found[0]:
-        return [np.zeros(0, np.int64)] * n
-    rows, window = np.concatenate(found[0]), np.concatenate(found[1])
-    by = np.lexsort((window, rows))
-    return np.split(window[by], np.searchsorted(rows[by], np.arange(1, n)))
-
-
-def _ranges(window: np.ndarray) -> list[dict]:
+def _ranges(window: np.ndarray, length: int) -> list[dict]:
     if not len(window):
         return []
     cut = np.flatnonzero(np.diff(window) > 1)
-    return [{"a": int(a), "b": int(b)} for a, b in zip(window[np.append(0, cut + 1)], window[np.append(cut, len(window) - 1)], strict=True)]
+    return [{"l": length, "a": int(a), "b": int(b)} for a, b in zip(window[np.append(0, cut + 1)], window[np.append(cut, len(window) - 1)], strict=True)]
 
 
-RANGES = "array<struct<a:int,b:int>>"
+RANGES = "array<struct<l:int,a:int,b:int>>"
 
 
 def _merged(shape: Shape):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["seed", "ctx"], ignore_index=True)
-        off, side = pdf["off"].to_numpy(np.int64), pdf["side"].to_numpy(np.int64)
-        group = pd.factorize(pdf["seed"])[0]
-        windows = repeated_windows(group, pdf["data"].tolist(), off, side * (shape.near + 1), pdf["n"].to_numpy(np.int64), shape.length)
-        keep = [i for i, w in enumerate(windows) if len(w)]
-        return pd.DataFrame({"seed": pdf["seed"].to_numpy()[keep], "ctx": pdf["ctx"].to_numpy()[keep], "ranges": pd.Series([_ranges(windows[i]) for i in keep], dtype=object)})
+        pdf = pdf.drop_duplicates(["seed", "ctx"]).sort_values("part", kind="stable", ignore_index=True)
+        group = pdf["seed"].to_numpy(np.int64)
+        windows = repeated_windows(group, pdf["data"].tolist(), pdf["off"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), shape.lengths)
+        ranges = [[r for length, w in zip(shape.lengths, of, strict=True) for r in _ranges(w, length)] for of in zip(*windows, strict=True)]
+        keep = [i for i, r in enumerate(ranges) if r]
+        return pd.DataFrame({"seed": group[keep], "ctx": pdf["ctx"].to_numpy()[keep], "ranges": pd.Series([ranges[i] for i in keep], dtype=object)})
 
     return run
 
 
 def _windows(shape: Shape):
     """A hot anchor's stretches -> a row for each window: its offset and its string's digest."""
+    names = ["seed", "ctx", "l", "window", "at", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.select(["seed", "ctx", "off", "n", "data"]).to_pylist():
-                view, n = memoryview(r["data"]), r["n"]
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(view[i : i + shape.length]) for i in range(n)), np.uint64, n)
-                yield pa.RecordBatch.from_arrays([pa.array([r["seed"]] * n), pa.array([r["ctx"]] * n), pa.array(np.arange(n), pa.int32()), pa.array(r["off"] - np.arange(n), pa.int32()), pa.array(digest.view(np.int64))], ["seed", "ctx", "window", "at", "digest"])
+                view = memoryview(r["data"])
+                for length in shape.lengths:
+                    n = max(0, min(r["n"], len(view) - length + 1))
+                    digest = np.fromiter((xxhash.xxh3_64_intdigest(view[i : i + length]) for i in range(n)), np.uint64, n)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["seed"]] * n, pa.int64()), pa.array([r["ctx"]] * n, pa.int64()), pa.array([length] * n, pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(r["off"] - np.arange(n), pa.int32()), pa.array(digest.view(np.int64))], names)
 
     return run
 
 
 def _sliced(shape: Shape):
-    names = ["seed", "ctx", "off", "side", "n", "data"]
+    names = ["seed", "ctx", "off", "n", "part", "data"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, wanted in zip(b.column("text"), b.column("wanted"), strict=True):
                 data, rows = text.as_py().encode(), wanted.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names[:-1], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)] + [pa.array([data[r["lo"] : r["lo"] + r["n"] + shape.length - 1] for r in rows], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names[:-1], kinds, strict=True)] + [pa.array([data[r["lo"] : r["lo"] + r["size"]] for r in rows], pa.binary())], names)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k1, k2, spans): for documents (by _keyed) with repeated strings, the byte spans that these cover, unmerged."""
-    spark, shape = docs.sparkSession, Shape(length)
+def repeated_spans(docs: DataFrame, *lengths: int) -> DataFrame:
+    """(k1, k2, spans): for documents (by _keyed) with repeated strings, structs (l, a, b) of the byte spans that strings
+    of each length cover, unmerged."""
+    spark, shape = docs.sparkSession, Shape(*lengths)
     rows = _keyed(docs)
     found = written(rows.mapInArrow(_occurrences(shape), OCCURRENCE), "suffix-occurrences")
     # written, so that the join's sides are both plain shuffles, of which Spark can split a hot seed's
     more = written(found.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed"), "suffix-seeds")
     cand = written(found.join(more, "seed"), "suffix-candidates")
-    one = cand.groupBy("seed", "ctx").agg(F.count("*").alias("k"), F.min(F.struct("k1", "k2", "lo", "off", "side", "n")).alias("r"))
+    one = cand.groupBy("seed", "ctx").agg(F.count("*").alias("k"), F.min(F.struct("k1", "k2", "lo", "size", "off", "n")).alias("r"))
     one = written(one.select("seed", "ctx", "k", "r.*"), "suffix-contexts")
     several = written(one.groupBy("seed").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
     # contexts that occur once, among others of their seed, are compared; those met twice only stand by
-    unlike = one.join(several, "seed")
-    wanted = unlike.groupBy("k1", "k2").agg(F.collect_list(F.struct("seed", "ctx", "lo", "off", "side", "n")).alias("wanted"))  # bounded by the text
-    data = written(rows.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_sliced(shape), "seed long, ctx long, off int, side int, n int, data binary"), "suffix-data")
+    shards = max(shuffle_width(spark), (several.agg(F.sum("m")).first()[0] or 0) // SHARD)
+    unlike = one.join(several, "seed").withColumn("part", F.pmod(F.xxhash64("k1"), F.lit(PARTS)).cast("int"))
+    wanted = unlike.groupBy("k1", "k2").agg(F.collect_list(F.struct("seed", "ctx", "lo", "size", "off", "n", "part")).alias("wanted"))  # bounded by the text
+    asked = rows.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])  # rows with equal keys are equal
+    data = written(asked.select("text", "wanted").mapInArrow(_sliced(shape), "seed long, ctx long, off int, n int, part int, data binary"), "suffix-data")
     hot = several.where(F.col("m") > HOT).select("seed")
-    shards = max(shuffle_width(spark), unlike.count() // SHARD)
     calm = data.join(hot, "seed", "left_anti").withColumn("shard", F.pmod("seed", F.lit(shards)))
     partial = calm.groupBy("shard").applyInPandas(_merged(shape), f"seed long, ctx long, ranges {RANGES}")
-    windows = data.join(hot, "seed", "left_semi").dropDuplicates(["seed", "ctx"]).mapInArrow(_windows(shape), "seed long, ctx long, window int, at int, digest long")
-    twice = windows.groupBy("seed", "at", "digest").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    of_hot = windows.join(twice, ["seed", "at", "digest"]).groupBy("seed", "ctx").agg(F.collect_list(F.struct(F.col("window").alias("a"), F.col("window").alias("b"))).alias("ranges"))
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))
+    windows = data.join(hot, "seed", "left_semi").dropDuplicates(["seed", "ctx"]).mapInArrow(_windows(shape), "seed long, ctx long, l int, window int, at int, digest long")
+    twice = windows.groupBy("seed", "l", "at", "digest").agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    of_hot = windows.join(twice, ["seed", "l", "at", "digest"]).groupBy("seed", "ctx").agg(F.collect_list(F.struct("l", F.col("window").alias("a"), F.col("window").alias("b"))).alias("ranges"))
+    fits = [F.struct(F.lit(x).alias("l"), F.lit(0).alias("a"), (F.least("n", F.col("size") - x + 1) - 1).alias("b")) for x in shape.lengths]
+    whole = F.filter(F.array(*fits), lambda r: r["b"] >= 0)
     met = one.where("k > 1").select("seed", "ctx", whole.alias("ranges"))
     single = one.where("k = 1").select("seed", "ctx")
     known = met.union(partial.union(of_hot).join(single, ["seed", "ctx"], "left_semi"))
-    spans = cand.join(known, ["seed", "ctx"]).select("k1", "k2", F.transform("ranges", lambda r: F.struct((F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] + length).alias("b"))).alias("s"))
-    return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("spans"))
-
-
-def cut_out(data: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
-    """(what is left, bytes removed, maximal removed runs)."""
-    left, at, runs, removed = [], 0, 0, 0
-    end = -1
-    for a, b in sorted((s["a"], s["b"]) for s in spans):
-        if a > end:
-            left.append(data[max(at, 0) : a])
-            runs += 1
-            start = a
+    spans = cand.join(known, ["seed", "ctx"]).select("k1", "k2", F.transform("ranges", lambda r: F.struct(r["l"].alias("l"), (F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] + r["l"]).alias("b"))).alias("s"))
+    return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("s")).alias("spans"))  # a set: repeated rows have the same
+
+
+def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of the bytes that spans cover, in order; spans that touch are one run."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            start = end
-        removed += max(0, b - start)
-        end = at = max(end, b)
-    left.append(data[at:])
-    return b"".join(left), removed, runs
+            out.append((a, b))
+    return out
+
 
+def passages(data: bytes, covered: list[tuple[int, int]], words: int, size: int) -> list[tuple[int, int]]:
+    """The runs that hold so many words or bytes."""
+    return [(a, b) for a, b in covered if b - a >= size or len(data[a:b].split()) >= words]
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+
+def cut_out(data: bytes, gone: list[tuple[int, int]]) -> bytes:
+    at, left = 0, []
+    for a, b in gone:
+        left.append(data[at:a])
+        at = b
+    return b"".join([*left, data[at:]])
+
+
+def _with_spans(docs: DataFrame, *lengths: int) -> DataFrame:
     """_row (docs' columns), doc_id, text and _spans (null without repeats)."""
     own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = own.withColumn("k1", F.coalesce("doc_id", F.lit(-1).cast("long"))).withColumn("k2", F.xxhash64("text"))
-    spans = repeated_spans(docs, length).withColumnRenamed("spans", "_spans")
+    spans = repeated_spans(docs, *lengths).withColumnRenamed("spans", "_spans")
     return own.join(spans, ["k1", "k2"], "left").select("_row", "doc_id", "text", "_spans")
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs.
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long"
+
+
+def digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_bytes: a row for each row of docs.
 
-    Texts are UTF-8 bytes (null: empty), judged whole and on the input; matches never cross texts. Equal rows hold each
-    other's strings, so long ones go whole. Texts under `length` bytes stay.
+    Texts are UTF-8 bytes (null: empty), judged whole and on the input; matches never cross texts. Equal rows, also
+    those with one id, hold each other's strings, so long ones go whole. Texts under `length` bytes stay; an empty table
+    gives none; other columns play no part. The last two columns count the maximal runs of repeated `passage`-byte
+    strings that without_repeats would take out, and their bytes.
     """
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    bounds = WORDS, LENGTH
+
+    def of(data: bytes, spans: list[dict]) -> tuple:
+        gone = runs([(s["a"], s["b"]) for s in spans if s["l"] == length])
+        shared = passages(data, runs([(s["a"], s["b"]) for s in spans if s["l"] == passage]), *bounds)
+        return len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(cut_out(data, gone)).hexdigest(), len(shared), sum(b - a for a, b in shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                out = []
-                for text, spans in zip(b.column("text"), b.column("_spans"), strict=True):
-                    data = (text.as_py() or "").encode()
-                    left, removed, runs = cut_out(data, spans.as_py() or [])
-                    out.append((len(data), removed, runs, hashlib.sha256(left).hexdigest()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names)
+                out = [of((text.as_py() or "").encode(), spans.as_py() or []) for text, spans in zip(b.column("text"), b.column("_spans"), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names)
+
+    rows = _with_spans(docs.select("doc_id", "text"), length, passage)
+    return rows.select("doc_id", "text", "_spans").mapInArrow(run, DIGESTS)
 
-    rows = _with_spans(docs.select("doc_id", "text"), length)
-    return rows.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
+def without_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """docs without the passages that repeat: runs of bytes covered by `passage`-byte strings that also start elsewhere,
+    if they hold WORDS words or LENGTH bytes.
+
+    All occurrences go, judged on the input; a character that a cut splits goes whole. Null, empty and short texts stay
+    as they are, equal rows lose the same, all rows and other columns stay, and an empty table stays empty.
+    """
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with text cut; a character that a cut splits goes whole. Other columns and all rows stay."""
+    bounds = WORDS, LENGTH
 
     @F.pandas_udf("string")
     def left(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or t is None else cut_out(t.encode(), [{"a": x["a"], "b": x["b"]} for x in s])[0].decode(errors="ignore") for t, s in zip(texts, spans, strict=True)])
+        out = []
+        for t, s in zip(texts, spans, strict=True):
+            if s is not None and t is not None:
+                data = t.encode()
+                t = cut_out(data, passages(data, runs([(int(x["a"]), int(x["b"])) for x in s]), *bounds)).decode(errors="ignore")
+            out.append(t)
+        return pd.Series(out)
 
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left(F.col("text"), "_spans"))
-    return _with_spans(docs, length).select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    return _with_spans(docs, passage).select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

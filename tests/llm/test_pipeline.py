@@ -12,7 +12,7 @@ from hopweave.llm import quality_crf as Q
 
 from .test_secret_scan import brute as secret_spans
 from .test_simhash import brute as near_copies
-from .test_suffix_dedup import brute as _suffix_digests  # noqa: F401
+from .test_suffix_dedup import cut_passages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,23 +35,6 @@ def corpus():
     return rows
 
 
-def cut(rows, length):
-    count = defaultdict(int)
-    for _, t in rows:
-        b = t.encode()
-        for i in range(len(b) - length + 1):
-            count[b[i : i + length]] += 1
-    out = []
-    for k, t in rows:
-        b = t.encode()
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - length + 1):
-            if count[b[i : i + length]] > 1:
-                gone[i : i + length] = True
-        out.append((k, bytes(c for c, g in zip(b, gone) if not g).decode(errors="ignore")))
-    return out
-
-
 def masked(text):
     keep, at = "", -1
     for a, _, _, b in secret_spans(text):
@@ -72,7 +55,7 @@ def test_run_matches_plain_python(spark, tmp_path):
     component = {k: c for k, _, c in near_copies(kept)}
     kept = [(k, t) for k, t in kept if component[k] == k]
     assert len(kept) <= 41
-    kept = [(k, masked(t)) for k, t in cut(kept, 400)]
+    kept = [(k, masked(t)) for (k, _), (t, _) in zip(kept, cut_passages(kept, 200))]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     tk, pieces, used = Tokenizer.from_file(P.path("byte_bpe_50k.json")), defaultdict(list), defaultdict(int)
     for r in got:
