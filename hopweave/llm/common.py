@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -11,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests) one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (on a local master, as in tests) one made here."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_hopweave_dir", None) or "file://" + tempfile.mkdtemp(prefix="hopweave-")
         spark.sparkContext._hopweave_dir = base
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -21,28 +25,42 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own for a written table; removed when the application ends."""
     path = f"{shared_dir(spark)}/hopweave/{name}-{uuid.uuid4().hex}"
 
     def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may have gone already
-            pass
+        with contextlib.suppress(Exception):  # the JVM may have gone already
+            _drop(spark, path)
 
     atexit.register(drop)
     return path
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and lost executors cost no recomputation."""
+    """df as a Parquet table in the shared folder: lineage is cut, and lost executors cost no recomputation.
+
+    What led to it is needed no more: Spark deletes the shuffle files of a plan once the driver's JVM has collected it.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._hopweave_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        _drop(t.sparkSession, t._hopweave_path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -9,7 +9,9 @@ verifies candidates. The index folds A-Z to a-z, which keeps every condition nec
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 from re import _constants as C
 from re import _parser as parser
 
@@ -119,6 +121,7 @@ def _node(op, arg) -> tuple[set[str] | None, Query]:
     return None, ANY
 
 
+@cache
 def trigram_query(regex: str) -> list[frozenset[str]]:
     """Clauses of which a text with a match satisfies one; [empty clause]: no mandatory trigrams."""
     own, query = _derive(parser.parse(regex))
@@ -141,17 +144,32 @@ def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.where("n = size").groupBy("_key").agg(F.collect_set("rule").alias("_rules"))
 
 
-def _prefix_sums(x: Column) -> Column:
-    """[0, x1, x1+x2, ...] without the total, in stretches so that work stays linear."""
-    width = 256
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
-    stretches = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / width).cast("int") - 1), lambda b: F.slice(x, b * width + 1, width))
-    return F.flatten(
-        F.transform(
-            stretches,
-            lambda s, b: F.transform(s, lambda _, i: F.when(i == 0, 0).otherwise(total(F.slice(s, 1, i))) + F.when(b == 0, 0).otherwise(total(F.slice(x, 1, b * width)))),
-        )
-    )
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x computed once, however often lambdas in body read it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
+def _prefixes(x: str, op: str, depth: int = 2) -> str:
+    """SQL for [0, x1, op(x1, x2), ...] without the total; op is `{} + {}` or `greatest({}, {})` over integers from 0 up.
+
+    In stretches of stretches: the values before a stretch come from the stretches' totals, and only within a stretch of
+    64 each element starts over, so work is linear up to some million elements.
+    """
+    v, c, s, o, i, b = (f"{name}{depth}" for name in "vcsoib")
+    total = lambda a: f"aggregate({a}, 0, (r{depth}, e{depth}) -> {op.format(f'r{depth}', f'e{depth}')})"
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    if not depth:
+        return let(v, x, f"transform({v}, ({s}, {i}) -> if({i} = 0, 0, {total(f'slice({v}, 1, {i})')}))")
+    before = _prefixes(f"transform({c}, {s} -> {total(s)})", op, depth - 1)
+    within = f"transform({s}, ({b}, {i}) -> if({i} = 0, {o}, {op.format(o, total(f'slice({s}, 1, {i})'))}))"
+    cut = f"transform(sequence(0, cast(ceil(size({v}) / 64) as int) - 1), {b} -> slice({v}, {b} * 64 + 1, 64))"
+    return let(v, x, let(c, cut, f"flatten(zip_with({c}, {before}, ({s}, {o}) -> {within}))"))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often lambdas read them (a generator is not inlined)."""
+    row = F.struct(*[F.col(c) for c in df.columns], *[x.alias(c) for c, x in columns.items()])
+    return df.select(F.inline(F.array(row)))
 
 
 def _span(rank: int, rule: Rule):
@@ -172,15 +190,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = rows.withColumn("_key", F.xxhash64("doc_id", "text"))  # rows that share a key share their candidates, no more
     indexed = [r for r in rules if frozenset() not in trigram_query(r.regex)]
     rows = rows.join(candidates(rows, tuple(indexed)), "_key", "left")
-    matched, spans = rows, []
+    lens, at, spans = {}, {}, []
     for rank, r in enumerate(rules):
-        pattern = F.lit(r.pattern)
+        pattern, own = F.lit(r.pattern), F.col(f"_lens{rank}")
         here = F.array_contains("_rules", r.kind) if r in indexed else F.col("text").rlike(r.pattern)
-        matched = matched.withColumn(f"_lens{rank}", F.when(here, F.transform(F.arrays_zip(F.split("text", r.pattern, -1).alias("gap"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("all"), F.regexp_extract_all("text", pattern, F.lit(r.group)).alias("part")), lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["all"]).alias("len"), F.length(z["part"]).alias("part")))))
-        lens = F.col(f"_lens{rank}")
-        steps = F.transform(lens, lambda z: z["gap"] + F.coalesce(z["len"], F.lit(0)))
-        matched = matched.withColumn(f"_at{rank}", F.when(F.size(lens) > 1, _prefix_sums(steps)))
-        spans.append(F.when(F.size(lens) > 1, F.filter(F.zip_with(lens, F.col(f"_at{rank}"), _span(rank, r)), lambda s: s.isNotNull())))
+        parts = F.arrays_zip(F.split("text", r.pattern, -1).alias("gap"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("all"), F.regexp_extract_all("text", pattern, F.lit(r.group)).alias("part"))
+        lens[f"_lens{rank}"] = F.when(here, F.transform(parts, lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["all"]).alias("len"), F.length(z["part"]).alias("part"))))
+        at[f"_at{rank}"] = F.when(F.size(own) > 1, F.expr(_prefixes(f"transform(_lens{rank}, z -> z.gap + coalesce(z.len, 0))", "{} + {}")))
+        spans.append(F.when(F.size(own) > 1, F.filter(F.zip_with(own, F.col(f"_at{rank}"), _span(rank, r)), lambda s: s.isNotNull())))
+    matched = rows.withColumns(lens).withColumns(at)
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
     return matched.select("_row", "doc_id", "text", F.array_sort(F.flatten(F.array(*[F.coalesce(s, none) for s in spans]))).alias("_spans"))
 
@@ -190,24 +208,38 @@ def _listed(spans: Column) -> Column:
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row for each row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row for each row of docs, also of equal ones.
+
+    Null and empty texts have no spans; an empty table gives none; other columns play no part. Work is linear in a
+    text's matches.
+    """
     base = [r.kind for r in RULES if r.base]
     own = lambda kinds: F.filter("_spans", lambda s: s["kind"].isin(kinds))
     return scan(docs).select("doc_id", *[F.size(own([k])).cast("long").alias(f"n_{k}") for k in base], F.sha2(_listed(own(base)).cast("binary"), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with every stretch of overlapping or touching spans in text replaced by mask; other columns and rows stay."""
-    empty = F.struct(F.lit(-1).alias("at"), F.array().cast("array<string>").alias("out"))
+    """docs with every stretch of overlapping or touching spans in text replaced by mask; other columns and rows stay.
 
-    def step(a: Column, s: Column) -> Column:
-        before = F.substring("text", F.greatest(a["at"], F.lit(0)) + 1, s["start"] - F.greatest(a["at"], F.lit(0)))
-        out = F.when(s["start"] > a["at"], F.concat(a["out"], F.array(F.concat(before, F.lit(mask))))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate("_spans", empty, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring("text", a["at"] + 1, F.length("text"))))
-    clean = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
-    return scan(docs).select(*[clean.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    Null, empty and clean texts stay as they are, equal rows come out equal, and an empty table stays empty. Work is
+    linear in a text and its spans: pieces are cut from four bytes a code point, where a place is found at once.
+    """
+    rows = scan(docs)
+    found = F.when(F.size("_spans") > 0, F.col("_spans"))
+    spans = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    rows = _once(rows.select("_row", "text", spans.alias("_found")), _upto=F.when(F.size("_found") > 0, F.expr(_prefixes("transform(_found, z -> z.stop)", "greatest({}, {})"))))
+    piece = lambda wide, a, b: F.decode(F.substring(wide, a * 4 + 1, (b - a) * 4), "UTF-32")
+    starts = lambda s, upto, i: (i == 0) | (s["start"] > upto)
+    zipped = F.arrays_zip(F.col("_found").alias("s"), F.col("_upto").alias("upto"), F.sequence(F.lit(0), F.size("_found") - 1).alias("i"))
+    heads = F.filter(zipped, lambda z: starts(z["s"], z["upto"], z["i"]))
+    last = F.array_max(F.transform("_found", lambda s: s["stop"]))
+
+    def masked(wide: Column) -> Column:  # a column of a row would be copied for each piece
+        kept = F.transform(heads, lambda z: F.concat(piece(wide, z["upto"], z["s"]["start"]), F.lit(mask)))
+        return F.concat(F.array_join(kept, ""), piece(wide, last, F.length("text")))
+
+    clean = F.when(F.size("_found") > 0, _let(F.encode("text", "UTF-32"), masked)).otherwise(F.col("text"))
+    return rows.select(*[clean.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:

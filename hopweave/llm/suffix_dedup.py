@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, small_batches, written
+from .common import discard, shuffle_width, small_batches, written
 
 LENGTH = 400
 #: A passage that repeats: PASSAGE bytes or more in a row that stand elsewhere, with WORDS words or LENGTH bytes.
@@ -30,7 +30,7 @@ PASSAGE, WORDS = 200, 50
 #: Window starts that are anchored together; longer texts take several turns.
 TURN = 1 << 20
 #: Stretches of one anchor beyond this are compared window by window over the cluster.
-HOT = 2_000
+HOT = 20_000
 #: Stretches that one task merges, about, and shards of documents whose columns it merges.
 SHARD, PARTS = 20_000, 64
 
@@ -79,15 +79,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: bytes, ends: np.ndarray, starts: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Parts one after another, ending at ends -> (first window, windows, bytes, offset of the anchor, side, seed, digest).
+    """Parts one after another, ending at ends -> (first window, windows, bytes, offset of the anchor, seed, digest).
 
     starts: how many windows of each part are its own; those after them only lend their bytes. Bytes reach to the end of
-    the last window of the greatest length, or of the part. side 0: anchor at most `near` behind the window's start;
-    seeds are hashes of what all such windows hold.
+    the last window of the greatest length, or of the part. Windows that start at most `near` before
+    their anchor and others are different stretches; seeds are hashes of what all windows of a stretch hold.
     """
     length, gram, near = shape.length, shape.gram, shape.near
     raw = np.frombuffer(data, np.uint8)
-    none = tuple(np.zeros(0, t) for t in (np.int64,) * 5 + (np.uint64,) * 2)
+    none = tuple(np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 2)
     if len(raw) < length:
         return none
     grams, right, left = _gram_hashes(raw, [gram, length - near, near + 1 + gram])
@@ -108,12 +108,11 @@ def stretches(data: bytes, ends: np.ndarray, starts: np.ndarray, shape: Shape) -
     first = np.concatenate((lo0[is0], lo[is1]))
     count = np.concatenate((hi[is0], hi1[is1])) - first + 1
     offset = np.concatenate((at[is0], at[is1])) - first
-    side = np.repeat([0, 1], [is0.sum(), is1.sum()])
     seed = np.concatenate((right[at[is0]], left[at[is1] - near - 1] ^ np.uint64(0x5851F42D4C957F2D)))
     stop = np.minimum(first + count + shape.most - 1, ends[np.searchsorted(ends, first, side="right")])
     view = memoryview(data)
     digest = np.fromiter((xxhash.xxh3_64_intdigest(view[f:e], seed=o) for f, e, o in zip(first.tolist(), stop.tolist(), offset.tolist(), strict=True)), np.uint64, len(first))
-    return first, count, stop - first, offset, side, seed, digest
+    return first, count, stop - first, offset, seed, digest
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -122,7 +121,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("k1"), F.xxhash64(F.col("text").cast("string")).alias("k2"), F.col("text").cast("string").alias("text"))
 
 
-OCCURRENCE = "k1 long, k2 long, lo long, n int, size int, off int, side int, seed long, ctx long"
+OCCURRENCE = "k1 long, k2 long, lo long, n int, size int, off int, seed long, ctx long"
 
 
 def _occurrences(shape: Shape):
@@ -131,11 +130,11 @@ def _occurrences(shape: Shape):
     def turn(keys: list[tuple[int, int, int]], parts: list[bytes]) -> pa.RecordBatch:
         """keys: (k1, k2, first byte) of each part."""
         ends = np.cumsum([len(p) for p in parts])
-        first, count, size, offset, side, seed, digest = stretches(b"".join(parts), ends, np.full(len(parts), shape.turn), shape)
+        first, count, size, offset, seed, digest = stretches(b"".join(parts), ends, np.full(len(parts), shape.turn), shape)
         own = np.searchsorted(ends, first, side="right")
         k = np.array(keys, np.int64).reshape(-1, 3)[own]
         lo = first - np.concatenate(([0], ends))[own] + k[:, 2]
-        ints = [pa.array(x, pa.int32()) for x in (count, size, offset, side)]
+        ints = [pa.array(x, pa.int32()) for x in (count, size, offset)]
         return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(lo), *ints, pa.array(seed.view(np.int64)), pa.array(digest.view(np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +280,7 @@ def repeated_spans(docs: DataFrame, *lengths: int) -> DataFrame:
     # written, so that the join's sides are both plain shuffles, of which Spark can split a hot seed's
     more = written(found.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed"), "suffix-seeds")
     cand = written(found.join(more, "seed"), "suffix-candidates")
+    discard(found)
     one = cand.groupBy("seed", "ctx").agg(F.count("*").alias("k"), F.min(F.struct("k1", "k2", "lo", "size", "off", "n")).alias("r"))
     one = written(one.select("seed", "ctx", "k", "r.*"), "suffix-contexts")
     several = written(one.groupBy("seed").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
@@ -302,7 +302,9 @@ def repeated_spans(docs: DataFrame, *lengths: int) -> DataFrame:
     single = one.where("k = 1").select("seed", "ctx")
     known = met.union(partial.union(of_hot).join(single, ["seed", "ctx"], "left_semi"))
     spans = cand.join(known, ["seed", "ctx"]).select("k1", "k2", F.transform("ranges", lambda r: F.struct(r["l"].alias("l"), (F.col("lo") + r["a"]).alias("a"), (F.col("lo") + r["b"] + r["l"]).alias("b"))).alias("s"))
-    return spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("s")).alias("spans"))  # a set: repeated rows have the same
+    out = written(spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("s")).alias("spans")), "suffix-spans")  # a set: repeated rows have the same
+    discard(more, cand, one, several, data)
+    return out
 
 
 def runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -337,25 +339,22 @@ def _with_spans(docs: DataFrame, *lengths: int) -> DataFrame:
     return own.join(spans, ["k1", "k2"], "left").select("_row", "doc_id", "text", "_spans")
 
 
-DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_bytes long"
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_bytes: a row for each row of docs.
+def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs.
 
     Texts are UTF-8 bytes (null: empty), judged whole and on the input; matches never cross texts. Equal rows, also
     those with one id, hold each other's strings, so long ones go whole. Texts under `length` bytes stay; an empty table
-    gives none; other columns play no part. The last two columns count the maximal runs of repeated `passage`-byte
-    strings that without_repeats would take out, and their bytes.
+    gives none; other columns play no part.
     """
     names = [c.split()[0] for c in DIGESTS.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-    bounds = WORDS, LENGTH
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
 
     def of(data: bytes, spans: list[dict]) -> tuple:
-        gone = runs([(s["a"], s["b"]) for s in spans if s["l"] == length])
-        shared = passages(data, runs([(s["a"], s["b"]) for s in spans if s["l"] == passage]), *bounds)
-        return len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(cut_out(data, gone)).hexdigest(), len(shared), sum(b - a for a, b in shared)
+        gone = runs([(s["a"], s["b"]) for s in spans])
+        return len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(cut_out(data, gone)).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -364,7 +363,7 @@ def digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> Da
                 out = [of((text.as_py() or "").encode(), spans.as_py() or []) for text, spans in zip(b.column("text"), b.column("_spans"), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], names)
 
-    rows = _with_spans(docs.select("doc_id", "text"), length, passage)
+    rows = _with_spans(docs.select("doc_id", "text"), length)
     return rows.select("doc_id", "text", "_spans").mapInArrow(run, DIGESTS)
 
 

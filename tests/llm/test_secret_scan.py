@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,3 +68,17 @@ def test_redaction(spark):
             keep += t[max(at, 0) : a] + "[secret]" if a > at else ""
             at = max(at, b)
         assert (gd, gn) == (d, n) and gt == (t if not brute(t) else keep + t[at:])
+
+
+def test_long_texts_take_seconds(spark):
+    """A text of ten million characters with some hundred thousand runs, and the pipeline's masks over them."""
+    unit = "0123456789abcdef0123456789abcdef é "
+    n = 10_000_000 // len(unit)
+    df = spark.createDataFrame([(1, unit * n + "token = abcdef99"), (2, None)], "doc_id long, text string")
+    t = time.time()
+    got = {r.doc_id: r for r in S.secrets(df).collect()}
+    left = {r.doc_id: r.text for r in S.redacted(df).collect()}
+    assert time.time() - t < 150
+    assert got[1].n_hex == n and got[1].n_assign == 1 and got[2].spans == ""
+    assert got[1].spans.split(",")[:2] == ["hex:0:32", "hex:35:67"] and got[1].spans.endswith(f"assign:{35 * n}:{35 * n + 16}")
+    assert left == {1: "[secret] é " * n + "[secret]", 2: None}
