@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder made here only where that is unset, as in tests."""
+    """spark.checkpoint.dir, or a folder made here where that is unset on a local master, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_hopweave_dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.sparkContext._hopweave_dir = "file://" + tempfile.mkdtemp(prefix="hopweave-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
