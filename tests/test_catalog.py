@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from hopweave.plans import catalog
+from hopweave.plans import catalog, graph_queries  # noqa: F401
 
 SF = os.environ.get("CATALOG_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
