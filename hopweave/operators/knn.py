@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -159,14 +160,69 @@ def jaccard(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(set_pairs(base, queries), k)
 
 
+def _posting_blocks(queries: DataFrame) -> Iterator[tuple]:
+    """(query ids, terms, ends of each term's postings, their queries, their weights), a bounded block of queries at a time."""
+    rows = queries.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("t"))
+    held: list[tuple[int, list]] = []
+    size = 0
+    for r in rows.toLocalIterator(prefetchPartitions=True):
+        held.append((r[0], r[1]))
+        size += 16 * len(r[1])
+        if size >= BLOCK_BYTES:
+            yield _postings(held)
+            held, size = [], 0
+    if held:
+        yield _postings(held)
+
+
+def _postings(held: list[tuple[int, list]]) -> tuple:
+    terms = sorted({x["term"] for _, t in held for x in t})
+    place = {t: i for i, t in enumerate(terms)}
+    term = np.array([place[x["term"]] for _, t in held for x in t], np.int64)
+    by = np.argsort(term, kind="stable")
+    query = np.repeat(np.arange(len(held)), [len(t) for _, t in held])[by]
+    weight = np.array([x["weight"] for _, t in held for x in t], float)[by]
+    return np.array([i for i, _ in held], np.int64), pa.array(terms), np.searchsorted(term[by], np.arange(len(terms) + 1)), query, weight
+
+
 def sparse_ip(base: DataFrame, queries: DataFrame, k: int, places: int = 12) -> DataFrame:
-    """(id, term, weight) rows both sides -> the k rows of greatest inner product, joined on terms; dist is its negative.
+    """(id, term, weight) rows both sides -> the k rows of greatest inner product that share a term; dist is its negative.
 
-    Sums are rounded before they are ranked, so that equal rows tie in whatever order their terms were added.
+    queries are a stated set: their postings are broadcast in bounded blocks, each task adds up the products of its own
+    rows and keeps k a query, so a frequent term makes no rows to shuffle. Sums are rounded before they are ranked, so
+    that equal rows tie in whatever order their terms were added.
     """
-    q = queries.select(F.col("id").alias("q_id"), "term", F.col("weight").alias("_q"))
-    b = base.select(F.col("id").alias("b_id"), "term", F.col("weight").alias("_b"))
-    return ranked(b.join(q, "term").groupBy("q_id", "b_id").agg((-F.round(F.sum(F.col("_q") * F.col("_b")), places)).alias("dist")), k)
+    spark, parts = base.sparkSession, []
+    rows = base.groupBy(F.col("id").cast("long").alias("id")).agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("weight").cast("double")).alias("weights"))  # a row's own terms
+    for block in _posting_blocks(queries):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, terms, ends, query, weight = shared.value
+            n = len(ids)
+            dist, best = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 128):
+                    b = whole.slice(at, 128)
+                    lists, w = b.column("terms"), b.column("weights").flatten().to_numpy(zero_copy_only=False)
+                    own = np.repeat(np.arange(len(b)), pc.list_value_length(lists).to_numpy())
+                    met = pc.index_in(lists.flatten(), value_set=terms.cast(lists.type.value_type))
+                    hit = ~np.asarray(met.is_null())
+                    t, own, w = met.drop_null().to_numpy().astype(np.int64), own[hit], w[hit]
+                    size = ends[t + 1] - ends[t]
+                    place = np.repeat(ends[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    key = query[place] * len(b) + np.repeat(own, size)
+                    total = np.bincount(key, np.repeat(w, size) * weight[place], minlength=n * len(b)).reshape(n, -1)
+                    some = np.bincount(key, minlength=n * len(b)).reshape(n, -1) > 0
+                    d = np.concatenate((dist, np.where(some, -np.round(total, places), np.inf)), axis=1)
+                    i = np.concatenate((best, np.broadcast_to(b.column("id").to_numpy(), total.shape)), axis=1)
+                    order = np.lexsort((i, d), axis=1)[:, :k]
+                    dist, best = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            q, j = np.nonzero(np.isfinite(dist))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best[q, j]), pa.array(dist[q, j])], ["q_id", "b_id", "dist"])
+
+        parts.append(rows.mapInArrow(run, SCHEMA))
+    return ranked(reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], SCHEMA), k)
 
 
 def graph(vectors: DataFrame, k: int, metric: str = "squared_l2") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.iterate import checkpointed
+from ..plans.iterate import checkpointed, placed
 from . import knn, search
 from .vectors import keyed_hash, seeds
 
@@ -55,11 +55,15 @@ FAMILY = {
 # prune
 
 
+def _worst(*more: Column) -> list[Column]:
+    """Worst edges first: a total order of candidates."""
+    return [F.desc("ratio"), F.desc("total"), F.desc("discarded"), *more, F.asc("src"), F.asc("dst")]
+
+
 def prune_candidates(stats: DataFrame) -> DataFrame:
     """Edges met and adopted, with ratio discarded / adopted and their rank on their level, worst first."""
     c = stats.where("adopted > 0").withColumn("ratio", F.col("discarded") / F.col("adopted")).withColumn("total", F.col("adopted") + F.col("discarded"))
-    order = Window.partitionBy("level").orderBy(F.desc("ratio"), F.desc("total"), F.desc("discarded"), "src", "dst")
-    return c.withColumn("rank", F.row_number().over(order))
+    return placed(c, ["level"], _worst(), "rank")
 
 
 def prune_selected(stats: DataFrame, prune_ratio: float = 0.02, per_node: int = 2) -> DataFrame:
@@ -72,7 +76,7 @@ def prune_selected(stats: DataFrame, prune_ratio: float = 0.02, per_node: int =
     c = prune_candidates(stats)
     target = c.groupBy("level").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * share)).alias("target"))
     one = c.withColumn("own", F.row_number().over(Window.partitionBy("level", "src").orderBy("rank"))).where("own = 1")
-    first = one.withColumn("turn", F.row_number().over(Window.partitionBy("level").orderBy("rank"))).join(F.broadcast(target), "level").where("turn <= target")
+    first = placed(one, ["level"], [F.asc("rank")], "turn").join(F.broadcast(target), "level").where("turn <= target")
     first = first.select("level", "src", "pos", "dst", F.lit(0).alias("phase"), F.col("rank").cast("long").alias("place"))
     zero = stats.where("adopted = 0 and discarded > 0").select("level", "src", "pos", "dst", F.lit(1).alias("phase"), F.col("pos").cast("long").alias("place"))
     order = Window.partitionBy("level", "src").orderBy("phase", "place", "dst")
@@ -83,7 +87,7 @@ def prune_ratio_legacy(stats: DataFrame, prune_ratio: float = 0.02) -> DataFrame
     """The older rule: floor(share) worst ratios overall, one cut a node in list order; and all only-discarded edges."""
     c = prune_candidates(stats)
     n = c.count()
-    worst = c.withColumn("r", F.row_number().over(Window.orderBy(F.desc("ratio"), F.desc("total"), F.desc("discarded"), "level", "src", "dst"))).where(F.col("r") <= int(n * prune_ratio))
+    worst = placed(c, [], _worst(F.asc("level")), "r").where(F.col("r") <= int(n * prune_ratio))
     one = worst.withColumn("own", F.row_number().over(Window.partitionBy("level", "src").orderBy("pos"))).where("own = 1")
     return one.select("level", "src", "pos", "dst").union(stats.where("adopted = 0 and discarded > 0").select("level", "src", "pos", "dst")).distinct()
 

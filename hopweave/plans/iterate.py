@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +34,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def placed(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with its row number (from 1) by a total order within each `by`, where no task holds a whole group.
+
+    Rows are dealt by ranges of the order; a row's number is its place in its range and the sizes of the ranges before.
+    """
+    rows = checkpointed(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    return rows.withColumn("_own", own).join(F.broadcast(sizes.drop("_size")), [*by, "_range"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_range", "_before")
