@@ -150,11 +150,15 @@ def fit(documents: list[tuple[np.ndarray, int]], steps: int = 60) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame | None) -> np.ndarray:
-    """Weights from a bounded sample of labelled documents of docs; quality 1: content, 0: boilerplate."""
+    """Weights from a bounded sample of labelled documents of docs; quality 1: content, 0: boilerplate.
+
+    Bounds of the fit alone: SAMPLE labelled documents that are in docs, by a hash of the id; SAMPLE_LINES lines of each;
+    2 * SAMPLE rows in all where ids repeat. Labels without a document play no part; without labels the prior stands.
+    """
     if labels is None:
         return prior()
     own = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    own = own.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = keyed(docs).join(F.broadcast(own), "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "text", "quality")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +187,8 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def quality(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """doc_id, the rules' counts, base_failed, kept and content_share: one row for each row of docs.
 
-    Null and empty texts have no words and fail; lines without a word carry no label. Long texts are read whole.
+    Null and empty texts have no words and fail; lines without a word carry no label. Long texts are read whole. Equal
+    rows share one verdict, null ids stay null, an empty table gives none, and other columns play no part.
     """
     weights = fitted(docs, labels)
 
@@ -198,7 +203,11 @@ def quality(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def kept(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that quality() keeps, with all their columns."""
+    """The rows of docs that quality() keeps, with all their columns, whatever their names.
+
+    Null and empty texts go, as they have too few words; equal rows share one verdict, long texts are read whole, and an
+    empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     weights = fitted(docs, labels)
 
