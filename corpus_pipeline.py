@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage reads the rows its predecessor kept."""
+"""The corpus pipeline: each stage reads the rows its predecessor kept.
+
+Every stage takes any documents table: null texts count as empty, equal rows are treated alike, texts are read whole,
+other columns pass unread whatever their names, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,27 @@ from hopweave.llm import common, harmonic_pack, quality_crf, secret_scan, simhas
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the line labels reject go."""
+    """Documents that the rules or the line labels reject go; so do null and empty texts, which have too few words."""
     return quality_crf.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one of the smallest id; rows without an id all stay."""
     return simhash_bk.one_per_component(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that also stand elsewhere go from the texts."""
+    """Passages that also stand elsewhere go from the texts, all their occurrences; all rows stay."""
     return suffix_dedup.without_repeats(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked."""
+    """Secrets in the texts are masked; null, empty and clean texts stay as they are."""
     return secret_scan.redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in sequences of 2048."""
+    """Pieces of token ids in sequences of 2048; a null or empty text is its end id alone."""
     return harmonic_pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
