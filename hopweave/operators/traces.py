@@ -108,3 +108,44 @@ def local_links(trace: DataFrame, edges: DataFrame, num: int = 10, jumps: int =
             yield pd.DataFrame(rows, columns=["q_id", "src", "dst"])
 
     return core.join(links, ["q_id", "shard"], "left").mapInPandas(run, "q_id long, src long, dst long")
+
+
+PREORDER = "q_id long, shard int, at int, node long, parent long, depth int, dist double, chosen int"
+#: Depth beyond which printed trees end (fixed value).
+DEEPEST = 7
+
+
+def preorder(trace: DataFrame) -> DataFrame:
+    """q_id, shard, at, node, parent, depth, dist, chosen: each tree depth first, children in the order they were met.
+
+    A node that is met again stays where it was met first; roots have no parent and no distance. A task holds one
+    search's trace at a time, which is as long as the nodes that search compared.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        q_id, shard, root = (pdf[c].iloc[0] for c in ("q_id", "shard", "src"))
+        met, below = {root}, {}
+        for src, dst, dist, adopted in zip(pdf["src"], pdf["dst"], pdf["dist"], pdf["adopted"], strict=True):
+            if dst not in met:
+                met.add(dst)
+                below.setdefault(src, []).append((dst, src, dist, adopted))
+        rows, left = [], [(root, None, None, 1, 0)]
+        while left:
+            node, parent, dist, chosen, depth = left.pop()
+            rows.append((q_id, shard, len(rows), node, parent, depth, dist, chosen))
+            left += [(*child, depth + 1) for child in reversed(below.get(node, []))]
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in PREORDER.split(", ")])
+        return out.astype({"parent": "Int64", "dist": "float64"})
+
+    return trace.select("q_id", "shard", "seq", "src", "dst", "dist", "adopted").groupBy("q_id", "shard").applyInPandas(run, PREORDER)
+
+
+def printed(trace: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+    """q_id, shard, at, line: the trees as indented text, a line a node, without nodes deeper than `deepest`."""
+    place = F.row_number().over(Window.partitionBy("q_id", "shard").orderBy("at")) - 1  # a tree is one search's
+    shown = preorder(trace).where(F.col("depth") <= deepest).withColumn("at", place)
+    dist = F.coalesce(F.expr("format_number(dist, '0.######')"), F.lit("-"))
+    # fixed format
+    line = F.concat(F.expr("repeat('  ', depth)"), F.lit("Node ID: "), "node", F.lit(" (Depth: "), "depth", F.lit(", Distance: "), dist, F.lit(",chosen"), "chosen", F.lit(",count"), "at", F.lit(")"))
+    return shown.select("q_id", "shard", "at", line.alias("line"))

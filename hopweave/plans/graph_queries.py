@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators import knn, refine, search, traces
 from ..operators.vectors import medoid
+from ..sources import results
 from .catalog import _TRUTH, _asked, _rounded, _seeds, _walk_sql, _walked, query
-from .iterate import checkpointed
+from .iterate import checkpointed, new_path
 
 # SQL: the walk's tables without its turns, then lists and distances by place in ascending order of ids
 
@@ -218,3 +219,28 @@ def graph_shortcuts(spark, sf):
 def graph_local_matrix(spark, sf):
     edges, t, _ = _traced(spark, sf)
     return traces.local_matrix(t, edges).select("q_id", "src", "dst", "i", "j")
+
+
+_PREORDER = (
+    f"{_TREE}, deep AS (SELECT q_id, node, NULL::BIGINT AS parent, 0 AS depth, [0] AS way, 1 AS chosen, NULL::DOUBLE AS dist FROM nd WHERE parent IS NULL "
+    "UNION ALL SELECT tr.q_id, tr.dst, tr.src, depth + 1, way || [tr.seq], tr.adopted, tr.dist FROM deep JOIN tr ON tr.q_id = deep.q_id AND tr.src = deep.node), "
+    'pre AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY q_id ORDER BY way) - 1)::INTEGER AS "at" FROM deep)'
+)
+
+
+@query(f"WITH {_PREORDER} SELECT q_id, \"at\", node, parent, depth, chosen, round(dist, 6) AS dist FROM pre")
+def graph_tree_preorder(spark, sf):
+    return _rounded(traces.preorder(_traced(spark, sf)[1]).drop("shard"), "dist")
+
+
+@query(f"WITH {_PREORDER} SELECT dense_rank() OVER (ORDER BY q_id) - 1 AS tree, \"at\", node, parent, depth, chosen, round(dist, 3) AS dist FROM pre")
+def file_trace_trees(spark, sf):
+    path = new_path(spark, "trees")
+    results.write_trees(traces.preorder(_traced(spark, sf)[1]), path)
+    return results.read_trees(spark, path).withColumn("dist", F.round("dist", 3))
+
+
+@query(f"WITH {_PREORDER} SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY \"at\") - 1)::INTEGER AS \"at\", repeat('  ', depth) || 'Node ID: ' || node || ' (Depth: ' || depth || ',chosen' || chosen || ')' AS line FROM pre WHERE depth <= 2")
+def graph_tree_lines(spark, sf):
+    """Trees as text, two links deep; distances and counts, whose digits SQL writes otherwise, are taken out."""
+    return traces.printed(_traced(spark, sf)[1], 2).select("q_id", "at", F.regexp_replace("line", ", Distance: [^,]*|,count[0-9]+", "").alias("line"))

@@ -10,7 +10,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vecfiles import opened
+from ..plans.iterate import checkpointed
+from .vecfiles import made, opened
+
+
+def _values(column: pa.Array, kind: str) -> bytes:
+    """Values, or those of all lists, one after another."""
+    flat = column.flatten() if pa.types.is_list(column.type) else column
+    if flat.null_count:
+        raise ValueError("a null has no place in this file")
+    return flat.to_numpy(zero_copy_only=False).astype(kind).tobytes()
+
+
+def _lists(column: pa.Array) -> bytes:
+    """Lists of ids, each led by its length; a null is an empty list."""
+    around = [np.array(ids or [], "<i4") for ids in column.to_pylist()]
+    return b"".join(np.array([len(a)], "<u8").tobytes() + a.tobytes() for a in around)
+
+
+def _poured(ordered: DataFrame, column: str, packed: Callable, *kind: str) -> Iterator[bytes]:
+    """The bytes of a column in row order; tasks make them of whole batches, the driver only passes them on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([packed(b.column(0), *kind)], pa.binary())], ["raw"])
+
+    for r in ordered.select(column).mapInArrow(run, "raw binary").toLocalIterator():
+        yield bytes(r[0])
 
 
 def _rows(spark: SparkSession, path: str, parts: list[tuple], schema: str, read: Callable) -> DataFrame:
@@ -87,20 +113,21 @@ def read_csr(spark: SparkSession, path: str, step: int = 50_000) -> DataFrame:
 
 
 def write_csr(rows: DataFrame, path: str, columns: int) -> None:
-    """(row_id from 0 without gaps, idx, val) as one file; rows stream through the driver a partition at a time."""
+    """(row_id from 0 without gaps, idx, val) as one file, sorted once."""
     size = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("idx")), F.lit(0))).first()
-    ordered = rows.select("row_id", "idx", "val").orderBy("row_id")
-    system, name = opened(path)
+    ordered = checkpointed(rows.select("row_id", "idx", "val", F.size("idx").alias("n")).orderBy("row_id"))
+    system, name = made(path)
     with system.open_output_stream(name) as f:
         f.write(np.array([size[0], columns, size[1]], "<i8").tobytes())
         f.write(np.zeros(1, "<i8").tobytes())
         end = 0
-        for r in ordered.select(F.size("idx")).toLocalIterator():
-            end += r[0]
-            f.write(np.array([end], "<i8").tobytes())
+        for raw in _poured(ordered, "n", _values, "<i8"):
+            ends = end + np.cumsum(np.frombuffer(raw, "<i8"))
+            f.write(ends.astype("<i8").tobytes())
+            end = int(ends[-1]) if len(ends) else end
         for column, kind in (("idx", "<i4"), ("val", "<f4")):
-            for r in ordered.select(column).toLocalIterator():
-                f.write(np.asarray(r[0], kind).tobytes())
+            for raw in _poured(ordered, column, _values, kind):
+                f.write(raw)
 
 
 def write_knn(found: DataFrame, path: str, k: int) -> None:
@@ -108,26 +135,26 @@ def write_knn(found: DataFrame, path: str, k: int) -> None:
     n = found.select("q_id").distinct().count()
     if found.count() != n * k:
         raise ValueError("every query needs k rows")
-    ordered = found.orderBy("q_id", "rank")
-    system, name = opened(path)
+    ordered = checkpointed(found.select("q_id", "rank", "b_id", "dist").orderBy("q_id", "rank"))
+    system, name = made(path)
     with system.open_output_stream(name) as f:
         f.write(np.array([n, k], "<u4").tobytes())
         for column, kind in (("b_id", "<i4"), ("dist", "<f4")):
-            for r in ordered.select(column).toLocalIterator():
-                f.write(np.array([r[0]], kind).tobytes())
+            for raw in _poured(ordered, column, _values, kind):
+                f.write(raw)
 
 
 def write_range(found: DataFrame, path: str, queries: int) -> None:
     """(q_id in 0..queries-1, b_id, dist) as one file, by q_id and distance."""
     count = {r.q_id: r["count"] for r in found.groupBy("q_id").count().toLocalIterator()}
-    ordered = found.orderBy("q_id", "dist", "b_id")
-    system, name = opened(path)
+    ordered = checkpointed(found.select("q_id", "b_id", "dist").orderBy("q_id", "dist", "b_id"))
+    system, name = made(path)
     with system.open_output_stream(name) as f:
         f.write(np.array([queries, sum(count.values())], "<i4").tobytes())
         f.write(np.array([count.get(i, 0) for i in range(queries)], "<i4").tobytes())
         for column, kind in (("b_id", "<i4"), ("dist", "<f4")):
-            for r in ordered.select(column).toLocalIterator():
-                f.write(np.array([r[0]], kind).tobytes())
+            for raw in _poured(ordered, column, _values, kind):
+                f.write(raw)
 
 
 #: Headers of the graph families' files: (name, type) in order (fixed formats).
@@ -190,16 +217,15 @@ def write_index(edges: DataFrame, nodes: DataFrame, path: str, family: str, head
     """A graph file from edges (level, src, pos, dst) and nodes (id from 0 without gaps, level), streamed in node order."""
     lists = edges.groupBy("level", "src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda s: s["dst"]).alias("around"))
     slots = nodes.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), "level")).alias("level")).join(lists, ["src", "level"], "left").orderBy("src", "level")
-    system, name = opened(path)
+    system, name = made(path)
     with system.open_output_stream(name) as f:
         for key, kind in HEADERS[family]:
             f.write(np.array([header[key]], kind).tobytes())
         if family == "hnsw":
-            for r in nodes.orderBy("id").select("level").toLocalIterator():
-                f.write(np.array([r[0]], "<i4").tobytes())
-        for r in slots.select("around").toLocalIterator():
-            around = np.array(r[0] or [], "<i4")
-            f.write(np.array([len(around)], "<u8").tobytes() + around.tobytes())
+            for raw in _poured(nodes.orderBy("id"), "level", _values, "<i4"):
+                f.write(raw)
+        for raw in _poured(slots, "around", _lists):
+            f.write(raw)
 
 
 def save_index(edges: DataFrame, nodes: DataFrame, meta: DataFrame, path: str) -> None:
@@ -226,14 +252,14 @@ def write_ivf(centroids: DataFrame, assigned: DataFrame, path: str, rounds: int)
     """(cid from 0, embedding) and (vec_id, cid) as one file: counts, centroids, ends of the lists, ids by list."""
     kc = centroids.count()
     size = {r.cid: r["count"] for r in assigned.groupBy("cid").count().collect()}  # as many as centroids
-    system, name = opened(path)
+    system, name = made(path)
     with system.open_output_stream(name) as f:
         f.write(np.array([kc, rounds], "<u8").tobytes())
         for r in centroids.orderBy("cid").select("embedding").toLocalIterator():
             f.write(np.asarray(r[0], "<f4").tobytes())
         f.write(np.cumsum([size.get(i, 0) for i in range(kc)]).astype("<u8").tobytes())
-        for r in assigned.orderBy("cid", "vec_id").select("vec_id").toLocalIterator():
-            f.write(np.array([r[0]], "<i4").tobytes())
+        for raw in _poured(assigned.orderBy("cid", "vec_id"), "vec_id", _values, "<i4"):
+            f.write(raw)
 
 
 def read_ivf(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -253,3 +279,56 @@ def read_ivf(spark: SparkSession, path: str, dim: int) -> tuple[DataFrame, DataF
 
     table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cid long, embedding array<float>")
     return table, _rows(spark, path, _ranges(kc, max(1, kc // 64)), "vec_id long, cid long", read)
+
+
+#: A node of a trace file (fixed format); each tree is led by its number of nodes (i32). A root's parent is 0.
+TREE_NODE = np.dtype([("node", "<i4"), ("parent", "<i4"), ("depth", "<i4"), ("chosen", "<i4"), ("dist", "<f4")])
+
+
+def _trees(column: pa.Array) -> bytes:
+    out = []
+    for tree in column.to_pylist():
+        rows = [(n["node"], n["parent"] or 0, n["depth"], n["chosen"], np.nan if n["dist"] is None else n["dist"]) for n in tree]
+        out += [np.array([len(rows)], "<i4").tobytes(), np.array(rows, TREE_NODE).tobytes()]
+    return b"".join(out)
+
+
+def write_trees(preorder: DataFrame, path: str) -> None:
+    """traces.preorder as one file, trees by query and shard. A tree is one search's, so its list is small.
+
+    Distances that are null (those of roots) are written as NaN. A table without trees gives an empty file.
+    """
+    node = F.struct("at", "node", "parent", "depth", "chosen", "dist")
+    trees = preorder.groupBy("q_id", "shard").agg(F.array_sort(F.collect_list(node)).alias("tree")).orderBy("q_id", "shard")
+    system, name = made(path)
+    with system.open_output_stream(name) as f:
+        for raw in _poured(trees, "tree", _trees):
+            f.write(raw)
+
+
+def read_trees(spark: SparkSession, path: str, step: int = 1000) -> DataFrame:
+    """tree (its place in the file), at, node, parent, depth, chosen, dist; the driver reads the trees' sizes alone."""
+    system, name = opened(path)
+    places, at = [], 0
+    with system.open_input_file(name) as f:
+        while at < f.size():
+            count = int(_at(f, at, 1, "<i4")[0])
+            places.append((at + 4, count))
+            at += 4 + count * TREE_NODE.itemsize
+
+    def read(f, part):
+        a, b = part
+        nodes = np.concatenate([np.frombuffer(f.read_at(n * TREE_NODE.itemsize, start), TREE_NODE) for start, n in places[a:b]])
+        size = [n for _, n in places[a:b]]
+        depth = nodes["depth"]
+        ints = [pa.array(nodes[c].astype(t)) for c, t in (("depth", np.int32), ("chosen", np.int32))]
+        return [
+            pa.array(np.repeat(np.arange(a, b), size)),
+            pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in size])),
+            pa.array(nodes["node"].astype(np.int64)),
+            pa.array(nodes["parent"].astype(np.int64), mask=depth == 0),
+            *ints,
+            pa.array(nodes["dist"].astype(float), from_pandas=True),
+        ]
+
+    return _rows(spark, path, _ranges(len(places), step), "tree long, at int, node long, parent long, depth int, chosen int, dist double", read)

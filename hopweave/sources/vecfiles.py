@@ -36,6 +36,13 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri("file://" + path)
 
 
+def made(path: str) -> tuple[fs.FileSystem, str]:
+    """opened, for a file to be written: its folder is there."""
+    system, name = opened(path)
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    return system, name
+
+
 @dataclass
 class Part(InputPartition):
     path: str
@@ -219,7 +226,7 @@ def joined(path: str, out: str) -> None:
     with system.open_input_stream(folder + "/_index.json") as f:
         index = json.loads(f.read())
     led = LAYOUTS[index["layout"]][1]
-    target, name = opened(out)
+    target, name = made(out)
     with target.open_output_stream(name) as g:
         if not led:
             g.write(np.array([index["rows"], index["dim"]], "<u4").tobytes())

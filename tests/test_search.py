@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from hopweave.operators import build, knn, refine, search, traces
+from hopweave.sources import results
 
 
 def graph(n=60, dim=6, k=5, seed=0):
@@ -193,6 +194,22 @@ def test_traces_and_trees(spark):
     assert set(short.columns) == {"src", "dst"}
 
 
+def test_trees_in_depth_first_order(spark, tmp_path):
+    rows = [(7, 0, 0, 5, 3, 2.0, 1, 0), (7, 1, 0, 5, 9, 1.5, 1, 0), (7, 2, 0, 3, 4, 2.5, 0, 0), (7, 3, 0, 9, 3, 2.0, 1, 0), (2, 0, 0, 1, 0, 0.5, 1, 0)]
+    t = spark.createDataFrame(rows, search.TRACE)
+    want = [(2, 0, 1, None, 0, None, 1), (2, 1, 0, 1, 1, 0.5, 1), (7, 0, 5, None, 0, None, 1), (7, 1, 3, 5, 1, 2.0, 1), (7, 2, 4, 3, 2, 2.5, 0), (7, 3, 9, 5, 1, 1.5, 1)]
+    got = traces.preorder(t)
+    assert [(r.q_id, r.at, r.node, r.parent, r.depth, r.dist, r.chosen) for r in got.orderBy("q_id", "at").collect()] == want
+    results.write_trees(got, str(tmp_path / "t"))
+    back = results.read_trees(spark, str(tmp_path / "t"), step=1).orderBy("tree", "at").collect()
+    assert [((2, 7)[r.tree], r.at, r.node, r.parent, r.depth, r.dist, r.chosen) for r in back] == want
+    lines = [r.line for r in traces.printed(t, 1).where("q_id = 7").orderBy("at").collect()]
+    assert lines == ["Node ID: 5 (Depth: 0, Distance: -,chosen1,count0)", "  Node ID: 3 (Depth: 1, Distance: 2,chosen1,count1)", "  Node ID: 9 (Depth: 1, Distance: 1.5,chosen1,count2)"]
+    none = traces.preorder(t.where("q_id < 0"))
+    results.write_trees(none, str(tmp_path / "e"))
+    assert none.count() == 0 == results.read_trees(spark, str(tmp_path / "e")).count()
+
+
 def test_refinement_keeps_recall(spark):
     v = vectors(spark, X)
     q = v.where("vec_id % 15 = 0")
