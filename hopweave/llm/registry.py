@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_replay, harmonic_pack, langid, quality_crf, rp_forest, secret_scan, simhash_bk, suffix_dedup, token_counts, token_output
+from . import bpe_replay, forced_bpe, harmonic_pack, langid, merkle, quality_crf, rp_forest, secret_scan, simhash_bk, suffix_dedup, token_counts, token_output
 from .common import new_path
 
 
@@ -57,9 +57,17 @@ def op10_marginal_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forced_bpe.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_trigram_secrets": secret_scan.oracle_sql()}
+    return {"op4_trigram_secrets": secret_scan.oracle_sql(), "op13_merkle_manifest": merkle.oracle_sql()}
