@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_replay, forced_bpe, harmonic_pack, langid, merkle, quality_crf, rp_forest, secret_scan, simhash_bk, suffix_dedup, token_counts, token_output
+from . import bpe_replay, forced_bpe, hard_negatives, harmonic_pack, langid, merkle, quality_crf, rp_forest, secret_scan, simhash_bk, suffix_dedup, token_counts, token_output
 from .common import new_path
 
 
@@ -61,6 +62,10 @@ def op11_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op12_bitsliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(hard_negatives.shifted(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(_table(spark, sf_dir, "documents"))
 
@@ -70,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_trigram_secrets": secret_scan.oracle_sql(), "op13_merkle_manifest": merkle.oracle_sql()}
+    return {"op4_trigram_secrets": secret_scan.oracle_sql(), "op12_bitsliced_negatives": hard_negatives.oracle_sql(), "op13_merkle_manifest": merkle.oracle_sql()}
