@@ -33,7 +33,9 @@ REMEMBERED = 400_000
 #: Scale of each letter's probability that keeps sums within a double's range; divided out at the end.
 SCALE = 16.0
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of words that are neither letters nor decimal digits: numerals such as ² ½ Ⅷ.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(f"[^\\W\\d_{NUMERALS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,7 +53,7 @@ def pieces_of(model_file: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     every = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for p in every if re.fullmatch("▁?(?:[^\\W\\d_]+)?", p) and p and p == p.lower()})
+    return sorted({p for p in every if p and (p == "▁" or LETTERS.fullmatch(p.removeprefix("▁"))) and p == p.lower()})
 
 
 class Lattice:
@@ -208,18 +210,20 @@ class Identifier:
     def __init__(self, lattice: Lattice, languages: list[str], prob: np.ndarray):
         self.lattice, self.languages, self.prob = lattice, languages, prob
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, len(languages)))
+        self.rows = np.zeros((1024, len(languages)))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         found = [words_of(t) for t in texts]
         new = {w for words in found for w in words if w not in self.known}
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.rows = {}, self.rows[:0]
+            self.known = {}
             new = {w for words in found for w in words}
-        new = sorted(new)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        first, new = len(self.known), sorted(new)
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        if len(self.known) > len(self.rows):
+            self.rows = np.concatenate((self.rows[:first], np.zeros((2 * len(self.known) - first, len(self.languages)))))
         if new:
-            self.rows = np.vstack([self.rows, self.lattice.scores(new, self.prob)])
+            self.rows[first : len(self.known)] = self.lattice.scores(new, self.prob)
         out = []
         for words in found:
             if not words or not self.languages:

@@ -21,7 +21,7 @@ from .common import keyed, small_batches
 
 #: Labelled documents that the field is fitted on at most, chosen by a hash of their id.
 SAMPLE = 1000
-#: Lines that one of them adds to the fit at most.
+#: Lines that one of them adds to the fit at most: a stretch whose place follows from a hash of the text.
 SAMPLE_LINES = 400
 #: A document stays if this share of its words stands in content lines.
 CONTENT_SHARE = 0.5
@@ -29,6 +29,7 @@ CONTENT_SHARE = 0.5
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = "#*$%&|<>"
 BLANK = b" \t\n\r\x0b\x0c"
+OTHER_BLANKS = re.compile(r"[\t\r\x0b\x0c]")
 
 #: Features of a line, each 0 or 1, and their prior weights for content (its negative: for boilerplate).
 FEATURES = {
@@ -81,9 +82,10 @@ def lines_of(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     """(features of each line that has a word, its words, lines equal to an earlier one)."""
     seen: set[str] = set()
     rows, sizes, again = [], [], 0
+    plain = not OTHER_BLANKS.search(text or "")
     for line in (text or "").split("\n"):
-        words = re.split(r"[ \t\r\x0b\x0c]+", line.strip(" \t\r\x0b\x0c")) if " " not in line or "\t" in line else [w for w in line.split(" ") if w.strip("\r\x0b\x0c")]
-        if not words or words == [""]:
+        words = [w for w in (line if plain else OTHER_BLANKS.sub(" ", line)).split(" ") if w]
+        if not words:
             continue
         n, old = len(words), line in seen
         seen.add(line)
@@ -149,11 +151,16 @@ def fit(documents: list[tuple[np.ndarray, int]], steps: int = 60) -> np.ndarray:
     return weights
 
 
+def _stretch(lines: np.ndarray, h: int) -> np.ndarray:
+    first = h % max(1, len(lines) - SAMPLE_LINES + 1)
+    return lines[first : first + SAMPLE_LINES]
+
+
 def fitted(docs: DataFrame, labels: DataFrame | None) -> np.ndarray:
     """Weights from a bounded sample of labelled documents of docs; quality 1: content, 0: boilerplate.
 
     Bounds of the fit alone: SAMPLE labelled documents that are in docs, by a hash of the id; SAMPLE_LINES lines of each;
-    2 * SAMPLE rows in all where ids repeat. Labels without a document play no part; without labels the prior stands.
+    2 * SAMPLE rows in all where ids repeat, by hash too. Labels without a document play no part; without labels the prior stands.
     """
     if labels is None:
         return prior()
@@ -163,10 +170,10 @@ def fitted(docs: DataFrame, labels: DataFrame | None) -> np.ndarray:
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cut = [lines_of(t)[0][:SAMPLE_LINES].astype(np.uint8).tobytes() for t in b.column("text").to_pylist()]
+            cut = [_stretch(lines_of(t)[0], h).astype(np.uint8).tobytes() for t, h in zip(b.column("text").to_pylist(), b.column("h").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("quality"), pa.array(cut, pa.binary())], ["doc_id", "h", "quality", "lines"])
 
-    found = rows.mapInArrow(featured, "doc_id long, h long, quality int, lines binary").orderBy("doc_id", "h").limit(2 * SAMPLE).collect()
+    found = rows.mapInArrow(featured, "doc_id long, h long, quality int, lines binary").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(2 * SAMPLE).collect()
     return fit([(np.frombuffer(r.lines, np.uint8).reshape(-1, len(FEATURES)).astype(float), int(r.quality > 0)) for r in found])
 
 
