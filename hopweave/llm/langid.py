@@ -7,12 +7,12 @@ learned by expectation-maximisation over the same sums from a bounded sample of
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +33,7 @@ REMEMBERED = 400_000
 #: Scale of each letter's probability that keeps sums within a double's range; divided out at the end.
 SCALE = 16.0
 UNDETERMINED = "und"
-#: Characters of words that are neither letters nor decimal digits: numerals such as ² ½ Ⅷ.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(f"[^\\W\\d_{NUMERALS}]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str | None) -> list[str]:
