@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import partial
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,9 @@ from ..plans.iterate import checkpointed, placed
 from . import knn, search
 from .vectors import keyed_hash, seeds
 
+if TYPE_CHECKING:
+    from .cells import Cells
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -204,8 +209,12 @@ def local_edges(g: search.Graph | search.Shards, vectors: DataFrame, settings: S
 
 
 def pseudo_truth(g: search.Graph | search.Shards, vectors: DataFrame, degree: int, ef: int = 2000) -> DataFrame:
-    """q_id, rank, b_id: what the index itself finds for its own vectors at a high ef."""
-    return search.knn_search(g, vectors, degree, ef).select("q_id", "rank", "b_id")
+    """q_id, rank, b_id: what the index itself finds for its own vectors at a high ef; of cells, in a vector's own."""
+    return search.knn_search(g, vectors, degree, ef, home=_overlapping(g)).select("q_id", "rank", "b_id")
+
+
+def _overlapping(g: search.Graph | search.Shards) -> bool:
+    return isinstance(g, search.Shards) and g.centres is not None
 
 
 def repair_edges(found: DataFrame, truth: DataFrame, vectors: DataFrame, degree: int, target: float = 0.90, most: int = 2, present: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
@@ -232,8 +241,8 @@ def repair_edges(found: DataFrame, truth: DataFrame, vectors: DataFrame, degree:
 
 def repairs(g: search.Graph | search.Shards, vectors: DataFrame, truth: DataFrame, degree: int, ef: int, target: float = 0.90) -> DataFrame:
     """repair_edges of what a search at ef finds for the index's own vectors."""
-    if not isinstance(g, search.Shards):
-        return repair_edges(checkpointed(search.knn_search(g, vectors, degree, ef)), truth, vectors, degree, target)
+    if not isinstance(g, search.Shards) or _overlapping(g):  # cells are one graph: a new edge may lie in any of them
+        return repair_edges(checkpointed(search.knn_search(g, vectors, degree, ef, home=_overlapping(g))), truth, vectors, degree, target)
     parts = checkpointed(search.shard_answers(g, vectors, degree, ef))
     found = checkpointed(search.merged_answers(parts, degree))
     return repair_edges(found, truth, vectors, degree, target, present=parts.where("b_id is not null").select("q_id", "b_id", "shard"), nodes=g.nodes)
@@ -290,6 +299,8 @@ def edge_impact(g: search.Graph | search.Shards, seeds_of: DataFrame, vectors: D
     """
     true = truth.where("q_id <> b_id").withColumn("r", F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))).where(F.col("r") <= k)
     wanted = true.groupBy(F.col("q_id").alias("seed")).agg(F.collect_list("b_id").alias("truth"))
+    if _overlapping(g):
+        raise ValueError("an edge of overlapping cells stands in several; open the graph as one for its edges' impact")
     if isinstance(g, search.Shards):
         return _impact(_shard_impact(g, seeds_of, vectors, wanted, k, ef))
     spark = vectors.sparkSession
@@ -373,9 +384,11 @@ def isolated_share(edges: DataFrame, nodes: DataFrame) -> float:
     return row[0] or 0.0
 
 
-def refine(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, queries: DataFrame, truth: DataFrame, settings: Settings, k: int = 20) -> tuple[DataFrame, DataFrame]:
+def refine(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, queries: DataFrame, truth: DataFrame, settings: Settings, k: int = 20, cells: Cells | None = None) -> tuple[DataFrame, DataFrame]:
     """(refined edges, log): alternate prune and add rounds, prune first; each round's edges are checkpointed.
 
+    cells: those of a united graph that is too large for one task; each search then stays in a few of them.
+
     ef is tuned on (queries, truth), which are parameters. The log has a row for each round: round, operation, ef,
     changed (edges), edges, recall, evaluations, acer.
     """
@@ -383,9 +396,10 @@ def refine(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, queries: Data
     random = settings.family == "hcnng"
     edges, log = checkpointed(edges.select("level", "src", "pos", "dst")), []
     base = vectors.where("embedding is not null")
+    opened = partial((cells or search).opened, random_entry=random)
 
     def measured(turn: int, what: str, ef: int, changed: int) -> search.Graph | search.Shards:
-        g = search.opened(edges, nodes, base, random)
+        g = opened(edges, nodes, base)
         r, e = recall_at(g, queries, truth, k, ef)
         acer = search.cost(search.traces(g, queries, ef).where("level = 0")).first()
         log.append((turn, what, ef, changed, edges.count(), r, e, acer["acer"]))
@@ -404,7 +418,7 @@ def refine(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, queries: Data
             if settings.family != "nsg":
                 true = checkpointed(pseudo_truth(g, base, settings.repair_degree, settings.train_ef))
                 edges = checkpointed(extended(edges, repairs(g, base, true, settings.repair_degree, max(ef, settings.repair_degree), settings.repair_target)))
-                g = search.opened(edges, nodes, base, random)
+                g = opened(edges, nodes, base)
             chosen = base.join(seeds(base, 0.1), "vec_id", "left_semi") if settings.family == "nsg" else base
             edges = checkpointed(extended(edges, local_edges(g, chosen, settings)))
         g = measured(turn, "prune" if turn % 2 else "add", ef, abs(edges.count() - before))

@@ -23,6 +23,8 @@ from .knn import matrix, ranked
 
 #: Bytes of vectors and adjacency that are broadcast at most.
 SHARD_BYTES = 256 << 20
+#: Cells that a query is searched in, where shards are cells around centres.
+PROBES = 6
 #: Queries that a task searches in its shard at most.
 CHUNK_ROWS = 50_000
 FOUND = "q_id long, rank int, b_id long, dist double, evaluations long, shard int"
@@ -59,6 +61,8 @@ class Shards:
     nodes: DataFrame
     count: int
     random_entry: bool = False
+    #: Centres of overlapping cells by shard: a query goes to its PROBES nearest shards alone, a node to its own.
+    centres: dict[int, np.ndarray] | None = None
 
 
 def mixed(seed: int, key: int) -> int:
@@ -183,6 +187,7 @@ def _unpacked(pdf: pd.DataFrame, random_entry: bool) -> Graph:
     none = np.zeros(0, np.int64)
     levels, dsts = ([none if x is None else np.asarray(x, np.int64) for x in pdf[c]] for c in ("levels", "dsts"))
     table = pd.DataFrame({"level": np.concatenate(levels), "src": np.repeat(ids, [len(x) for x in dsts]), "dst": np.concatenate(dsts)})
+    table = table[np.isin(table["dst"], ids)]  # cells that overlap share nodes, and links lead out of them
     g = assemble(ids, np.stack(pdf["embedding"].to_numpy()), table, pdf[["id", "top", "is_entry"]].rename(columns={"top": "level"}), random_entry)
     g.shard = int(pdf["shard"].iloc[0])
     return g
@@ -212,6 +217,8 @@ def _dealt(s: Shards, queries: DataFrame, schema: str, each: Callable, home: boo
         asked = own
     elif home:
         asked = own.join(s.nodes.select(F.col("id").alias("vec_id"), "shard"), "vec_id")
+    elif s.centres is not None:
+        asked = _probed(own, s.centres)
     else:
         asked = own.join(F.broadcast(s.nodes.select("shard").distinct()))  # a row for each shard
     asked = asked.withColumn("home", F.col("shard") + 0).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)))
@@ -231,6 +238,25 @@ def _dealt(s: Shards, queries: DataFrame, schema: str, each: Callable, home: boo
     return asked.drop("shard").groupBy("home", "chunk").cogroup(held.groupBy("shard", "chunk")).applyInPandas(run, schema)
 
 
+def _probed(queries: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """queries (vec_id, embedding) with the shard of each of their PROBES nearest centres."""
+    names, c = np.array(sorted(centres)), np.array([centres[i] for i in sorted(centres)])
+    shared = queries.sparkSession.sparkContext.broadcast((names, c))  # their size was checked when cells were dealt
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, c = shared.value
+        for b in batches:
+            x = matrix(b.column(1))
+            if len(names) <= PROBES:
+                spot = np.broadcast_to(np.arange(len(names)), (len(x), len(names)))
+            else:
+                spot = np.argsort((c * c).sum(axis=1) - 2 * (x @ c.T), axis=1, kind="stable")[:, :PROBES]
+            for i in range(spot.shape[1]):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[spot[:, i]], pa.int32())], ["vec_id", "embedding", "shard"])
+
+    return queries.mapInArrow(run, "vec_id long, embedding array<double>, shard int")
+
+
 def _over(g: Graph | Shards, queries: DataFrame, schema: str, each: Callable, home: bool = False) -> DataFrame:
     """each(graph, q_id, vector) -> rows, for every query, in batches; the graph is broadcast.
 
@@ -257,17 +283,18 @@ def _over(g: Graph | Shards, queries: DataFrame, schema: str, each: Callable, ho
     return own.repartition(spark.sparkContext.defaultParallelism, "vec_id").mapInArrow(run, schema)
 
 
-def knn_search(g: Graph | Shards, queries: DataFrame, k: int, ef: int, exclude_self: bool = False, disabled: frozenset = frozenset()) -> DataFrame:
+def knn_search(g: Graph | Shards, queries: DataFrame, k: int, ef: int, exclude_self: bool = False, disabled: frozenset = frozenset(), home: bool = False) -> DataFrame:
     """q_id, rank (1: nearest), b_id, dist, evaluations. Fewer than k rows if ef < k or the graph does not reach more.
 
     exclude_self drops the query's own id from the answer. disabled: (src, dst) ids of edges that are not followed.
-    Several shards are all searched with ef and their answers merged; evaluations are then those of all shards.
+    Several shards are all searched with ef and their answers merged, of cells the nearest few; evaluations are then
+    those of all shards searched. home: the queries are nodes, and are searched for in the shards they stand in.
     """
-    found = shard_answers(g, queries, k, ef, exclude_self, disabled)
+    found = shard_answers(g, queries, k, ef, exclude_self, disabled, home)
     return merged_answers(found, k) if isinstance(g, Shards) else found.drop("shard")
 
 
-def shard_answers(g: Graph | Shards, queries: DataFrame, k: int, ef: int, exclude_self: bool = False, disabled: frozenset = frozenset()) -> DataFrame:
+def shard_answers(g: Graph | Shards, queries: DataFrame, k: int, ef: int, exclude_self: bool = False, disabled: frozenset = frozenset(), home: bool = False) -> DataFrame:
     """knn_search's rows of each shard before they are merged, with the shard. A shard without answer has a null b_id."""
     placed: dict[int, frozenset] = {}
     several = isinstance(g, Shards)
@@ -279,7 +306,7 @@ def shard_answers(g: Graph | Shards, queries: DataFrame, k: int, ef: int, exclud
         rows = [(d, int(g.ids[v])) for d, v in found if not exclude_self or g.ids[v] != q_id][:k]
         return [(q_id, i + 1, b, d, count, g.shard) for i, (d, b) in enumerate(rows)] or ([(q_id, 0, None, None, count, g.shard)] if several else [])
 
-    return _over(g, queries, FOUND, each)
+    return _over(g, queries, FOUND, each, home)
 
 
 def merged_answers(parts: DataFrame, k: int) -> DataFrame:

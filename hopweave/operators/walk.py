@@ -43,21 +43,21 @@ def edge_statistics(edges: DataFrame, vectors: DataFrame, queries: DataFrame, pa
     return rows.groupBy("src", "dst").agg(F.sum((F.col("d") < F.col("at")).cast("long")).alias("adopted"), F.sum((F.col("d") >= F.col("at")).cast("long")).alias("discarded"))
 
 
-def pruned_lists(candidates: DataFrame, vectors: DataFrame, most: int, alpha: float | None) -> DataFrame:
-    """(src, dst, dist) candidates -> src, pos, dst kept, as a fold over each list in (dist, dst) order.
+def pruned_lists(candidates: DataFrame, vectors: DataFrame, most: int, alpha: float | None, keys: tuple[str, ...] = ("src",)) -> DataFrame:
+    """(src, dst, dist) candidates -> src, pos, dst kept, as a fold over each list in (dist, dst) order; keys tell lists apart.
 
     alpha None: a candidate stays if no kept one is nearer to it than src is (the hierarchical rule). Else it goes if
     alpha * d(kept, candidate) <= d(src, candidate) for a kept one (the robust rule).
     """
     v = vectors.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("e"))
-    lists = candidates.join(v, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst", "e"))).alias("c"))  # bounded lists
+    lists = candidates.join(v, "dst").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dist", "dst", "e"))).alias("c"))  # bounded lists
 
     def step(kept, c):
         far = (lambda k: metrics.squared_l2(k["e"], c["e"]) < c["dist"]) if alpha is None else (lambda k: alpha * metrics.squared_l2(k["e"], c["e"]) <= c["dist"])
         return F.when((F.size(kept) < most) & ~F.exists(kept, far), F.concat(kept, F.array(c))).otherwise(kept)
 
     empty = F.filter("c", lambda x: F.lit(False))
-    return lists.select("src", F.posexplode(F.transform(F.aggregate("c", empty, step), lambda k: k["dst"])).alias("pos", "dst"))
+    return lists.select(*keys, F.posexplode(F.transform(F.aggregate("c", empty, step), lambda k: k["dst"])).alias("pos", "dst"))
 
 
 def beam_rounds(edges: DataFrame, vectors: DataFrame, queries: DataFrame, entry: DataFrame, ef: int) -> DataFrame:

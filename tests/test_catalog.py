@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 
-from hopweave.plans import catalog, format_queries, graph_queries  # noqa: F401
+from hopweave.plans import catalog, cell_queries, format_queries, graph_queries  # noqa: F401
 
 SF = os.environ.get("CATALOG_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
