@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import Graph, assemble, beam, descend, mixed, search
+from .search import Graph, beam, descend, mixed
 
 #: Vectors of a shard, about.
 SHARD_ROWS = 50_000
@@ -215,43 +215,12 @@ def build(vectors: DataFrame, family: str, **params) -> tuple[DataFrame, DataFra
     return edges, rows.where("is_entry is not null").select("shard", F.col("src").alias("id"), "level", "is_entry")
 
 
-def _shard_search(shared, k: int, ef: int, random_entry: bool):
-    def run(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        names = ["q_id", "b_id", "dist", "evaluations"]
-        if not len(v):
-            return pd.DataFrame([], columns=names)
-        ids, x = _columns(v)
-        info = e[["src", "top", "is_entry"]].drop_duplicates("src").rename(columns={"src": "id", "top": "level"})
-        table = e.dropna(subset=["dst"]).sort_values(["level", "src", "pos"])
-        g = assemble(ids, x, table, info, random_entry)
-        rows = []
-        for q_id, q in zip(*shared.value, strict=True):
-            found, count, _ = search(g, q, int(q_id), k, ef)
-            rows += [(int(q_id), int(ids[b]), d, count) for d, b in found]
-        return pd.DataFrame(rows, columns=names)
-
-    return run
-
-
 def sharded_search(edges: DataFrame, nodes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, ef: int, random_entry: bool = False) -> DataFrame:
-    """Every query against every shard, in the task that holds the shard; the k nearest overall, with evaluations a shard.
+    """Every query against every shard, in the task that holds the shard; the k nearest overall, with evaluations a shard."""
+    from .search import merged, opened, shard_answers
 
-    queries are a stated set of bounded size, which goes to every task.
-    """
-    from .knn import _blocks
-    from .search import merged
-
-    spark, parts = vectors.sparkSession, []
-    left = sharded(vectors).groupBy("shard")
-    right = edges.join(nodes.select("shard", F.col("id").alias("src"), F.col("level").alias("top"), "is_entry"), ["shard", "src"], "right").groupBy("shard")
-    for block in _blocks(queries):
-        shared = spark.sparkContext.broadcast(block)
-
-        parts.append(left.cogroup(right).applyInPandas(_shard_search(shared, k, ef, random_entry), "q_id long, b_id long, dist double, evaluations long"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return merged(out, k)
+    g = opened(edges, nodes, vectors, random_entry)
+    return merged(shard_answers(g, queries, k, ef).where("b_id is not null").select("q_id", "b_id", "dist", "evaluations"), k)
 
 
 def index_size(edges: DataFrame) -> DataFrame:

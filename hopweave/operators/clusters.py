@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics
 from . import knn
+from .grid import met
 from .network import components
 from .vectors import dimensions
 
@@ -61,23 +60,18 @@ def distance_sums(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _sums_to_clusters(labelled: DataFrame) -> DataFrame:
     """vec_id, label, total: the sum of distances from each row to the rows of each label."""
-    spark, parts = labelled.sparkSession, []
-    rows = labelled.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    for block in knn._blocks(labelled):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            totals: dict[int, np.ndarray] = {}
-            for b in batches:
-                label, x = b.column("label").to_numpy(), knn.matrix(b.column("embedding"))
-                for c in np.unique(label).tolist():
-                    totals[c] = totals.get(c, 0) + distance_sums(q, x[label == c])
-            for c, d in totals.items():
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), c)), pa.array(d)], ["vec_id", "label", "part"])
-
-        parts.append(rows.mapInArrow(run, "vec_id long, label long, part double"))
-    out = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "vec_id long, label long, part double")
+
+    def each(ids: np.ndarray, q: np.ndarray, b: pa.RecordBatch) -> pa.RecordBatch:
+        label, x = b.column("label").to_numpy(), knn.matrix(b.column("embedding"))
+        found = np.unique(label)
+        sums = np.concatenate([distance_sums(q, x[label == c]) for c in found])
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(found))), pa.array(np.repeat(found, len(ids))), pa.array(sums)], ["vec_id", "label", "part"])
+
+    def added(t: pa.Table) -> pa.Table:
+        """Sums by row and label, so that a task or cell sends one for each."""
+        return t.group_by(["vec_id", "label"]).aggregate([("part", "sum")]).rename_columns(["vec_id", "label", "part"])
+
+    out = met(labelled.select("vec_id", "embedding", "label"), labelled, each, "vec_id long, label long, part double", added)
     return out.groupBy("vec_id", "label").agg(F.sum("part").alias("total"))
 
 

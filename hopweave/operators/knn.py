@@ -1,14 +1,14 @@
 """Exact nearest neighbours of a stated query set against all rows, in blocks.
 
-Queries are broadcast in blocks of bounded size; each task compares a block with its own rows by matrix products and
-keeps the k nearest it has, so that what is shuffled is k rows a query and task. A product only shortlists: distances
+Queries and rows meet in bounded blocks (see grid): a task compares a block of each by matrix products and keeps the k
+nearest it has, so that what is shuffled is k rows a query and block. A product only shortlists: distances
 of the shortlist are computed again directly, and ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import metrics
+from .grid import BLOCK_BYTES, matrix, met, nearest_of
 
-#: Bytes of query vectors that one broadcast holds at most.
-BLOCK_BYTES = 32 << 20
 SCHEMA = "q_id long, b_id long, dist double"
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """An Arrow list column without nulls, all rows of one length, as a double matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if not len(column):
-        return np.zeros((0, 0))
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -56,38 +47,15 @@ _PAIRED: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
 }
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the queries, a bounded block at a time."""
-    rows = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("embedding is not null")
-    ids, vectors, held = [], [], 0
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        ids.append(r[0]), vectors.append(r[1])
-        held += 8 * len(r[1])
-        if held >= BLOCK_BYTES:
-            yield np.array(ids), np.array(vectors, float)
-            ids, vectors, held = [], [], 0
-    if ids:
-        yield np.array(ids), np.array(vectors, float)
-
-
-def _compared(base: DataFrame, queries: DataFrame, keep: Callable) -> DataFrame:
-    """keep(approximate distances, query ids, base ids) -> (query row, base row) to be measured, for each block and batch."""
-    spark = base.sparkSession
-    rows = base.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("embedding is not null")
-    parts = []
-    for block in _blocks(queries):
-        shared = spark.sparkContext.broadcast(block)
+def _compared(base: DataFrame, queries: DataFrame, keep: Callable, closing: Callable | None = None) -> DataFrame:
+    """keep(query ids, queries, base ids, base) -> (query row, base row, distance) of the pairs that stay, in blocks (see grid)."""
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for b in batches:
-                own, x = b.column(0).to_numpy(), matrix(b.column(1))
-                if len(own):
-                    i, j, dist = keep(ids, q, own, x)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(dist)], ["q_id", "b_id", "dist"])
+    def each(ids: np.ndarray, q: np.ndarray, b: pa.RecordBatch) -> pa.RecordBatch:
+        own = b.column("vec_id").to_numpy()
+        i, j, dist = keep(ids, q, own, matrix(b.column("embedding")))
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(dist)], ["q_id", "b_id", "dist"])
 
-        parts.append(rows.mapInArrow(run, SCHEMA))
-    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], SCHEMA)
+    return met(base.select("vec_id", "embedding"), queries, each, SCHEMA, closing)
 
 
 def ranked(pairs: DataFrame, k: int, by: str = "q_id") -> DataFrame:
@@ -118,7 +86,7 @@ def exact(base: DataFrame, queries: DataFrame, k: int, metric: str = "squared_l2
         i, j = i[good], j[good]
         return i, j, paired(q[i], x[j])
 
-    return ranked(_compared(base, queries, keep), k)
+    return ranked(_compared(base, queries, keep, partial(nearest_of, k=k)), k)
 
 
 def within(base: DataFrame, queries: DataFrame, below: float, metric: str = "squared_l2", exclude_self: bool = False) -> DataFrame:
