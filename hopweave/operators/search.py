@@ -29,6 +29,7 @@ PROBES = 6
 CHUNK_ROWS = 50_000
 FOUND = "q_id long, rank int, b_id long, dist double, evaluations long, shard int"
 TRACE = "q_id long, seq int, level int, src long, dst long, dist double, adopted int, shard int"
+TREE = "q_id long, shard int, seq int, node long, parent long, dist double, place int, evaluations long"
 
 
 @dataclass
@@ -331,6 +332,23 @@ def traces(g: Graph | Shards, queries: DataFrame, ef: int) -> DataFrame:
     return _over(g, queries, TRACE, each)
 
 
+def trees(g: Graph | Shards, queries: DataFrame, ef: int) -> DataFrame:
+    """q_id, shard, seq, node, parent, dist, place, evaluations: level 0 of each search as a tree of the nodes it adopted.
+
+    The root (seq 0, no parent) is the node that the level is entered at, with its distance. place: a node's rank from 1
+    among what the search held at its end, else null. evaluations, on each row, are those of level 0.
+    """
+
+    def each(g: Graph, q_id: int, q: np.ndarray):
+        start = descend(g, q, g.entry)[0] if len(g.lists) > 1 else g.start(q_id)
+        rows: list[tuple] = [(start, None, float(g.distances(q, np.array([start]))[0]))]
+        found, count, _ = beam(g, q, start, ef, 0, lambda level, src, v, d, adopted: rows.append((v, src, d)) if adopted else None)
+        place = {v: i for i, (_, v) in enumerate(found, 1)}
+        return [(q_id, g.shard, i, int(g.ids[v]), None if src is None else int(g.ids[src]), d, place.get(v), count) for i, (v, src, d) in enumerate(rows)]
+
+    return _over(g, queries, TREE, each)
+
+
 def edge_statistics(trace: DataFrame, level_scope: int | None = None) -> DataFrame:
     """level, src, dst, adopted, discarded."""
     rows = trace if level_scope is None else trace.where(F.col("level") < level_scope)

@@ -1,6 +1,7 @@
-"""Search traces as trees: a row (q_id, seq, src, dst, dist, adopted, shard) is the link from a node to its parent src.
+"""Search trees: rows of search.trees, (q_id, shard, seq, node, parent, dist, place, evaluations), one for each node that
+a search adopted, linked to the node whose list it was met in; the root has no parent.
 
-A query has a tree in each shard of the graph; nodes of two trees are never the same.
+A query has a tree in each shard of the graph; nodes of two trees are never the same but where shards overlap.
 """
 
 from __future__ import annotations
@@ -15,28 +16,36 @@ from ..plans.iterate import checkpointed
 from .refine import deficit_edges
 
 
-def nodes(trace: DataFrame) -> DataFrame:
-    """q_id, shard, node, parent, dist, chosen; the root of each tree has no parent."""
-    rows = trace.select("q_id", "shard", F.col("dst").alias("node"), F.col("src").alias("parent"), "dist", F.col("adopted").alias("chosen"))
-    roots = trace.withColumn("r", F.row_number().over(Window.partitionBy("q_id", "shard").orderBy("seq"))).where("r = 1")
-    return rows.unionByName(roots.select("q_id", "shard", F.col("src").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("dist"), F.lit(1).alias("chosen")))
+def marked(trees: DataFrame, k: int, targets: DataFrame | None = None) -> DataFrame:
+    """trees with chosen: 1 for the k nearest that a search found, else 0. With targets (q_id, target): 2 for the nearest
+    found, if it is the query's target, and 0 for all others."""
+    if targets is None:
+        return trees.withColumn("chosen", F.coalesce((F.col("place") <= k).cast("int"), F.lit(0)))
+    hit = (F.col("place") == 1) & (F.col("node") == F.col("target"))
+    return trees.join(targets.select("q_id", "target"), "q_id", "left").withColumn("chosen", F.when(hit, 2).otherwise(0)).drop("target")
 
 
-def sizes(trace: DataFrame) -> DataFrame:
+def ratios(trees: DataFrame) -> DataFrame:
+    """q_id, shard, held, evaluations, ecr: how many nodes a search held at its end, for each that it compared."""
+    each = trees.groupBy("q_id", "shard").agg(F.count("place").alias("held"), F.max("evaluations").alias("evaluations"))
+    return each.withColumn("ecr", F.col("held") / F.col("evaluations"))
+
+
+def sizes(trees: DataFrame) -> DataFrame:
     """q_id, nodes, leaves, over all trees of a query."""
-    t = nodes(trace)
-    inner = t.where("parent is not null").select("q_id", F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(1))
-    return t.join(inner, ["q_id", "node"], "left").groupBy("q_id").agg(F.count("*").alias("nodes"), F.sum(F.when(F.col("inner").isNull(), 1).otherwise(0)).alias("leaves"))
+    inner = trees.where("parent is not null").select("q_id", F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(1))
+    return trees.join(inner, ["q_id", "node"], "left").groupBy("q_id").agg(F.count("*").alias("nodes"), F.sum(F.when(F.col("inner").isNull(), 1).otherwise(0)).alias("leaves"))
 
 
-def main_paths(trace: DataFrame, targets: DataFrame) -> DataFrame:
-    """q_id, up (0 at the target), node: the way from each query's target (q_id, target) up to its root."""
-    t = checkpointed(nodes(trace).select("q_id", "node", "parent"))
-    now = targets.select("q_id", F.col("target").alias("node")).join(t, ["q_id", "node"]).select("q_id", F.lit(0).alias("up"), "node", "parent")
+def main_paths(marked: DataFrame) -> DataFrame:
+    """q_id, up (0 at the target), node: the way from the node marked 2 up to its root; none where no target was found."""
+    t = checkpointed(marked.select("q_id", "shard", "node", "parent", "chosen"))
+    now = t.where("chosen = 2").select("q_id", "shard", F.lit(0).alias("up"), "node", "parent")
     out, up = now, 0
     while True:
         up += 1
-        now = checkpointed(now.where("parent is not null").select("q_id", F.col("parent").alias("node")).join(t, ["q_id", "node"]).select("q_id", F.lit(up).alias("up"), "node", "parent"))
+        step = now.where("parent is not null").select("q_id", "shard", F.col("parent").alias("node")).join(t, ["q_id", "shard", "node"])
+        now = checkpointed(step.select("q_id", "shard", F.lit(up).alias("up"), "node", "parent"))
         if now.isEmpty():
             return out.select("q_id", "up", "node")
         out = out.union(now)
@@ -62,9 +71,9 @@ def depths(paths: DataFrame) -> DataFrame:
     return paths.groupBy("q_id").agg(F.max("up").alias("depth"))
 
 
-def inner_visits(trace: DataFrame) -> tuple[DataFrame, DataFrame]:
+def inner_visits(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, visits) of nodes with children, and (src, dst, visits) of links to them, over all trees."""
-    t = nodes(trace)
+    t = trees
     inner = t.where("parent is not null").select("q_id", F.col("parent").alias("node")).distinct()
     own = t.join(inner, ["q_id", "node"], "left_semi")
     return own.groupBy("node").agg(F.count("*").alias("visits")), own.where("parent is not null").groupBy(F.col("parent").alias("src"), F.col("node").alias("dst")).agg(F.count("*").alias("visits"))
@@ -81,20 +90,20 @@ def shortcuts(paths: DataFrame, longest: int = 8, least_visits: int = 2) -> Data
     return rare.join(target, "q_id").select(F.col("m.node").alias("src"), "dst").distinct()
 
 
-def local_matrix(trace: DataFrame, edges: DataFrame, num: int = 10) -> DataFrame:
+def local_matrix(trees: DataFrame, edges: DataFrame, num: int = 10) -> DataFrame:
     """q_id, src, dst, i, j, shard: links among each tree's `num` nearest nodes, with their places in that order."""
     order = Window.partitionBy("q_id", "shard").orderBy("dist", "node")
-    near = nodes(trace).where("dist is not null").withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < num).select("q_id", "shard", "node", "i")
+    near = trees.withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < num).select("q_id", "shard", "node", "i")
     a = near.select("q_id", "shard", F.col("node").alias("src"), "i")
     b = near.select("q_id", "shard", F.col("node").alias("dst"), F.col("i").alias("j"))
     return a.join(edges.select("src", "dst").distinct(), "src").join(b, ["q_id", "shard", "dst"]).select("q_id", "src", "dst", "i", "j", "shard")
 
 
-def local_links(trace: DataFrame, edges: DataFrame, num: int = 10, jumps: int = 8, most: int = 5) -> DataFrame:
+def local_links(trees: DataFrame, edges: DataFrame, num: int = 10, jumps: int = 8, most: int = 5) -> DataFrame:
     """q_id, src, dst: up to `most` directed links that the `num` nearest nodes of each tree lack (see refine)."""
     order = Window.partitionBy("q_id", "shard").orderBy("dist", "node")
-    near = nodes(trace).where("dist is not null").withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < num).select("q_id", "shard", "node", "i")
-    links = local_matrix(trace, edges, num).groupBy("q_id", "shard").agg(F.collect_list(F.struct("i", "j")).alias("links"))  # num * num
+    near = trees.withColumn("i", F.row_number().over(order) - 1).where(F.col("i") < num).select("q_id", "shard", "node", "i")
+    links = local_matrix(trees, edges, num).groupBy("q_id", "shard").agg(F.collect_list(F.struct("i", "j")).alias("links"))  # num * num
     core = near.groupBy("q_id", "shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda s: s["node"]).alias("core"))
 
     def run(batches):
@@ -115,22 +124,22 @@ PREORDER = "q_id long, shard int, at int, node long, parent long, depth int, dis
 DEEPEST = 7
 
 
-def preorder(trace: DataFrame) -> DataFrame:
+def preorder(marked: DataFrame) -> DataFrame:
     """q_id, shard, at, node, parent, depth, dist, chosen: each tree depth first, children in the order they were met.
 
-    A node that is met again stays where it was met first; roots have no parent and no distance. A task holds one
-    search's trace at a time, which is as long as the nodes that search compared.
+    A node that is met again stays where it was met first. A task holds one search's tree at a time, which is as long as
+    the nodes that search adopted.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        q_id, shard, root = (pdf[c].iloc[0] for c in ("q_id", "shard", "src"))
-        met, below = {root}, {}
-        for src, dst, dist, adopted in zip(pdf["src"], pdf["dst"], pdf["dist"], pdf["adopted"], strict=True):
-            if dst not in met:
-                met.add(dst)
-                below.setdefault(src, []).append((dst, src, dist, adopted))
-        rows, left = [], [(root, None, None, 1, 0)]
+        q_id, shard = pdf["q_id"].iloc[0], pdf["shard"].iloc[0]
+        met, below = set(), {}
+        for node, parent, dist, chosen in zip(pdf["node"], pdf["parent"].astype("Int64"), pdf["dist"], pdf["chosen"], strict=True):
+            if node not in met:
+                met.add(node)
+                below.setdefault(None if parent is pd.NA else int(parent), []).append((node, parent, dist, chosen))
+        rows, left = [], [(*root, 0) for root in reversed(below.get(None, []))]
         while left:
             node, parent, dist, chosen, depth = left.pop()
             rows.append((q_id, shard, len(rows), node, parent, depth, dist, chosen))
@@ -138,13 +147,13 @@ def preorder(trace: DataFrame) -> DataFrame:
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in PREORDER.split(", ")])
         return out.astype({"parent": "Int64", "dist": "float64"})
 
-    return trace.select("q_id", "shard", "seq", "src", "dst", "dist", "adopted").groupBy("q_id", "shard").applyInPandas(run, PREORDER)
+    return marked.select("q_id", "shard", "seq", "node", "parent", "dist", "chosen").groupBy("q_id", "shard").applyInPandas(run, PREORDER)
 
 
-def printed(trace: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+def printed(marked: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """q_id, shard, at, line: the trees as indented text, a line a node, without nodes deeper than `deepest`."""
     place = F.row_number().over(Window.partitionBy("q_id", "shard").orderBy("at")) - 1  # a tree is one search's
-    shown = preorder(trace).where(F.col("depth") <= deepest).withColumn("at", place)
+    shown = preorder(marked).where(F.col("depth") <= deepest).withColumn("at", place)
     dist = F.coalesce(F.expr("format_number(dist, '0.######')"), F.lit("-"))
     # fixed format
     line = F.concat(F.expr("repeat('  ', depth)"), F.lit("Node ID: "), "node", F.lit(" (Depth: "), "depth", F.lit(", Distance: "), dist, F.lit(",chosen"), "chosen", F.lit(",count"), "at", F.lit(")"))

@@ -906,50 +906,47 @@ def refine_loop_hcnng(spark, sf):
     return _refined(spark, sf, "hcnng", s=5, trees=6, leaf=100)[1]
 
 
-def _traced(spark, sf):
+def _grown(spark, sf):
+    """(edges, trees of the stated queries' searches marked by their true nearest vector)."""
     base, edges, _, g = _loaded(spark, sf)
-    trace = checkpointed(search.traces(g, _asked(base), 16))
-    best = search.knn_search(g, _asked(base), 1, 16).select("q_id", F.col("b_id").alias("target"))
-    return edges, trace, best
+    nearest = knn.exact(base, _asked(base), 1).select("q_id", F.col("b_id").alias("target"))
+    return edges, checkpointed(traces.marked(search.trees(g, _asked(base), 16), 10, nearest))
 
 
 @query()
 def trace_tree_sizes(spark, sf):
-    return traces.sizes(_traced(spark, sf)[1])
+    return traces.sizes(_grown(spark, sf)[1])
 
 
 @query()
 def trace_main_paths(spark, sf):
-    _, t, best = _traced(spark, sf)
-    return traces.main_paths(t, best)
+    return traces.main_paths(_grown(spark, sf)[1])
 
 
 @query()
 def trace_edge_visits(spark, sf):
-    _, t, best = _traced(spark, sf)
-    return traces.edge_visits(traces.main_paths(t, best))
+    return traces.edge_visits(traces.main_paths(_grown(spark, sf)[1]))
 
 
 @query()
 def trace_inner_visits(spark, sf):
-    return traces.inner_visits(_traced(spark, sf)[1])[1]
+    return traces.inner_visits(_grown(spark, sf)[1])[1]
 
 
 @query()
 def trace_shortcuts(spark, sf):
-    _, t, best = _traced(spark, sf)
-    return traces.shortcuts(traces.main_paths(t, best), longest=3)
+    return traces.shortcuts(traces.main_paths(_grown(spark, sf)[1]), longest=3)
 
 
 @query()
 def trace_local_matrix(spark, sf):
-    edges, t, _ = _traced(spark, sf)
+    edges, t = _grown(spark, sf)
     return traces.local_matrix(t, edges)
 
 
 @query()
 def trace_local_links(spark, sf):
-    edges, t, _ = _traced(spark, sf)
+    edges, t = _grown(spark, sf)
     return traces.local_links(t, edges, jumps=2)
 
 

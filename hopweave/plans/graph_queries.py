@@ -77,10 +77,11 @@ def _opened(spark, sf):
     return base, edges, search.opened(edges, nodes, base)
 
 
-def _traced(spark, sf, ef: int = 16):
+def _grown(spark, sf, found: bool = False):
+    """(edges, trees marked by the ten nearest that a search found, or by the true nearest vector)."""
     base, edges, g = _opened(spark, sf)
-    best = search.knn_search(g, _asked(base), 1, ef).select("q_id", F.col("b_id").alias("target"))
-    return edges, checkpointed(search.traces(g, _asked(base), ef)), best
+    nearest = knn.exact(base, _asked(base), 1).select("q_id", F.col("b_id").alias("target"))
+    return edges, checkpointed(traces.marked(search.trees(g, _asked(base), 16), 10, None if found else nearest))
 
 
 @query(f"WITH {_searched('64')} SELECT q_id, rank, b_id, round(dist, 6) AS dist, evaluations FROM ({_found_sql('b')}) WHERE rank <= 10")
@@ -178,32 +179,61 @@ def graph_edge_impact(spark, sf):
     return _rounded(impact, "comparison_diff", "recall_diff").select("src", "dst", "seeds", "comparison_diff", "recall_diff")
 
 
-# trees of traces
+# trees of traces: adopted nodes, marked 1 among the ten nearest found, or 2 if the nearest found is the nearest of all
 
-_TREE = f"{_traced_sql(16)}, nd AS MATERIALIZED (SELECT q_id, dst AS node, src AS parent, dist FROM tr UNION ALL SELECT q_id, src, NULL, NULL FROM tr WHERE seq = 0)"
-_PATHS = f"{_TREE}, mp AS (SELECT q_id, 0 AS up, node, parent FROM nd JOIN (SELECT q_id, b_id AS node FROM ({_found_sql('b')}) WHERE rank = 1) USING (q_id, node) UNION ALL SELECT nd.q_id, up + 1, nd.node, nd.parent FROM mp JOIN nd ON nd.q_id = mp.q_id AND nd.node = mp.parent)"
+_ENDS = "pl AS MATERIALIZED (SELECT q_id, ix.vec_id AS node, row_number() OVER (PARTITION BY q_id ORDER BY o.d, o.i) AS place, n AS evaluations FROM (SELECT q_id, unnest(top) AS o, len(seen)::BIGINT AS n FROM b_end) JOIN ix ON ix.i = o.i)"
+_NEAREST = "ne AS MATERIALIZED (SELECT v.vec_id AS q_id, arg_min(p.dst, {'d': p.dist, 'i': p.dst}) AS target FROM v JOIN p ON p.src = v.vec_id WHERE v.vec_id % 50 = 0 GROUP BY 1)"
+_TREE = (
+    f"{_traced_sql(16)}, {_ENDS}, {_NEAREST}, nd AS MATERIALIZED (SELECT a.*, coalesce((place <= 10)::INTEGER, 0) AS top, CASE WHEN place = 1 AND a.node = target THEN 2 ELSE 0 END AS hit FROM "
+    "(SELECT q_id, dst AS node, src AS parent, dist, seq FROM tr WHERE adopted = 1 UNION ALL SELECT vec_id, (SELECT ix.vec_id FROM st JOIN ix ON ix.i = st.en), NULL, (SELECT dd[en] FROM dq, st WHERE dq.q_id = v.vec_id), -1 FROM v WHERE vec_id % 50 = 0) a "
+    "LEFT JOIN pl ON pl.q_id = a.q_id AND pl.node = a.node JOIN ne ON ne.q_id = a.q_id)"
+)
+_PATHS = f"{_TREE}, mp AS (SELECT q_id, 0 AS up, node, parent FROM nd WHERE hit = 2 UNION ALL SELECT nd.q_id, up + 1, nd.node, nd.parent FROM mp JOIN nd ON nd.q_id = mp.q_id AND nd.node = mp.parent)"
 
 
 @query(f"WITH {_TREE} SELECT q_id, count(*)::BIGINT AS nodes, count_if(node NOT IN (SELECT parent FROM nd i WHERE i.q_id = nd.q_id AND parent IS NOT NULL))::BIGINT AS leaves FROM nd GROUP BY 1")
 def graph_tree_sizes(spark, sf):
-    return traces.sizes(_traced(spark, sf)[1])
+    return traces.sizes(_grown(spark, sf)[1])
+
+
+@query(f"WITH {_TREE} SELECT q_id, node, parent, round(dist, 6) AS dist, top AS chosen FROM nd")
+def graph_tree_found(spark, sf):
+    """Trees marked by what each search found, roots with their distance."""
+    return _rounded(_grown(spark, sf, found=True)[1].select("q_id", "node", "parent", "dist", "chosen"), "dist")
+
+
+@query(f"WITH {_TREE} SELECT q_id, node, parent, hit AS chosen FROM nd WHERE hit > 0 OR parent IS NULL")
+def graph_tree_targets(spark, sf):
+    """Roots, and the nodes at which searches found their target."""
+    return _grown(spark, sf)[1].where("chosen > 0 or parent is null").select("q_id", "node", "parent", "chosen")
+
+
+@query(f"WITH {_TREE} SELECT q_id, count(*)::BIGINT AS held, max(evaluations) AS evaluations, round(count(*) / max(evaluations), 6) AS ecr FROM pl GROUP BY 1")
+def graph_tree_ratios(spark, sf):
+    return _rounded(traces.ratios(_grown(spark, sf)[1]), "ecr").drop("shard")
 
 
 @query(f"WITH {_PATHS} SELECT q_id, up, node FROM mp")
 def graph_main_paths(spark, sf):
-    _, t, best = _traced(spark, sf)
-    return traces.main_paths(t, best)
+    return traces.main_paths(_grown(spark, sf)[1])
 
 
 @query(f"WITH {_PATHS} SELECT parent AS src, node AS dst, count(*)::BIGINT AS visits FROM mp WHERE parent IS NOT NULL GROUP BY 1, 2")
 def graph_path_edge_visits(spark, sf):
-    _, t, best = _traced(spark, sf)
-    return traces.edge_visits(traces.main_paths(t, best))
+    return traces.edge_visits(traces.main_paths(_grown(spark, sf)[1]))
 
 
-@query(f"WITH {_TREE}, inn AS (SELECT DISTINCT q_id, parent AS node FROM nd WHERE parent IS NOT NULL) SELECT parent AS src, node AS dst, count(*)::BIGINT AS visits FROM nd JOIN inn USING (q_id, node) WHERE parent IS NOT NULL GROUP BY 1, 2")
+_INNER = f"{_TREE}, inn AS (SELECT DISTINCT q_id, parent AS node FROM nd WHERE parent IS NOT NULL)"
+
+
+@query(f"WITH {_INNER} SELECT parent AS src, node AS dst, count(*)::BIGINT AS visits FROM nd JOIN inn USING (q_id, node) WHERE parent IS NOT NULL GROUP BY 1, 2")
 def graph_inner_visits(spark, sf):
-    return traces.inner_visits(_traced(spark, sf)[1])[1]
+    return traces.inner_visits(_grown(spark, sf)[1])[1]
+
+
+@query(f"WITH {_INNER} SELECT node, count(*)::BIGINT AS visits FROM nd JOIN inn USING (q_id, node) GROUP BY 1")
+def graph_inner_nodes(spark, sf):
+    return traces.inner_visits(_grown(spark, sf)[1])[0]
 
 
 @query(
@@ -211,36 +241,41 @@ def graph_inner_visits(spark, sf):
     "SELECT DISTINCT src, node AS dst FROM ra JOIN mp USING (q_id) WHERE up = 0"
 )
 def graph_shortcuts(spark, sf):
-    _, t, best = _traced(spark, sf)
-    return traces.shortcuts(traces.main_paths(t, best), longest=3)
+    return traces.shortcuts(traces.main_paths(_grown(spark, sf)[1]), longest=3)
 
 
-@query(f"WITH {_TREE}, nn AS (SELECT q_id, node, (row_number() OVER (PARTITION BY q_id ORDER BY dist, node) - 1)::INTEGER AS i FROM nd WHERE dist IS NOT NULL) SELECT a.q_id, s2.src, s2.dst, a.i, b.i AS j FROM nn a JOIN s2 ON s2.src = a.node JOIN nn b ON b.q_id = a.q_id AND b.node = s2.dst WHERE a.i < 10 AND b.i < 10")
+@query(f"WITH {_TREE}, nn AS (SELECT q_id, node, (row_number() OVER (PARTITION BY q_id ORDER BY dist, node) - 1)::INTEGER AS i FROM nd) SELECT a.q_id, s2.src, s2.dst, a.i, b.i AS j FROM nn a JOIN s2 ON s2.src = a.node JOIN nn b ON b.q_id = a.q_id AND b.node = s2.dst WHERE a.i < 10 AND b.i < 10")
 def graph_local_matrix(spark, sf):
-    edges, t, _ = _traced(spark, sf)
+    edges, t = _grown(spark, sf)
     return traces.local_matrix(t, edges).select("q_id", "src", "dst", "i", "j")
 
 
 _PREORDER = (
-    f"{_TREE}, deep AS (SELECT q_id, node, NULL::BIGINT AS parent, 0 AS depth, [0] AS way, 1 AS chosen, NULL::DOUBLE AS dist FROM nd WHERE parent IS NULL "
-    "UNION ALL SELECT tr.q_id, tr.dst, tr.src, depth + 1, way || [tr.seq], tr.adopted, tr.dist FROM deep JOIN tr ON tr.q_id = deep.q_id AND tr.src = deep.node), "
+    f"{_TREE}, deep AS (SELECT q_id, node, parent, 0 AS depth, [seq] AS way, top AS chosen, dist FROM nd WHERE parent IS NULL "
+    "UNION ALL SELECT nd.q_id, nd.node, nd.parent, depth + 1, way || [nd.seq], nd.top, nd.dist FROM deep JOIN nd ON nd.q_id = deep.q_id AND nd.parent = deep.node), "
     'pre AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY q_id ORDER BY way) - 1)::INTEGER AS "at" FROM deep)'
 )
 
 
 @query(f"WITH {_PREORDER} SELECT q_id, \"at\", node, parent, depth, chosen, round(dist, 6) AS dist FROM pre")
 def graph_tree_preorder(spark, sf):
-    return _rounded(traces.preorder(_traced(spark, sf)[1]).drop("shard"), "dist")
+    return _rounded(traces.preorder(_grown(spark, sf, found=True)[1]).drop("shard"), "dist")
 
 
 @query(f"WITH {_PREORDER} SELECT dense_rank() OVER (ORDER BY q_id) - 1 AS tree, \"at\", node, parent, depth, chosen, round(dist, 3) AS dist FROM pre")
 def file_trace_trees(spark, sf):
     path = new_path(spark, "trees")
-    results.write_trees(traces.preorder(_traced(spark, sf)[1]), path)
+    results.write_trees(traces.preorder(_grown(spark, sf, found=True)[1]), path)
     return results.read_trees(spark, path).withColumn("dist", F.round("dist", 3))
 
 
-@query(f"WITH {_PREORDER} SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY \"at\") - 1)::INTEGER AS \"at\", repeat('  ', depth) || 'Node ID: ' || node || ' (Depth: ' || depth || ',chosen' || chosen || ')' AS line FROM pre WHERE depth <= 2")
+@query(
+    f"WITH {_PREORDER} SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY \"at\") - 1)::INTEGER AS \"at\", (row_number() OVER (PARTITION BY q_id ORDER BY \"at\") - 1)::INTEGER AS counted, round(dist, 6) AS dist, "
+    "repeat('  ', depth) || 'Node ID: ' || node || ' (Depth: ' || depth || ',chosen' || chosen || ')' AS line FROM pre WHERE depth <= 2"
+)
 def graph_tree_lines(spark, sf):
-    """Trees as text, two links deep; distances and counts, whose digits SQL writes otherwise, are taken out."""
-    return traces.printed(_traced(spark, sf)[1], 2).select("q_id", "at", F.regexp_replace("line", ", Distance: [^,]*|,count[0-9]+", "").alias("line"))
+    """Trees as text, two links deep; distances and counts are read back from the lines as numbers."""
+    number = lambda pattern: F.regexp_extract("line", pattern, 1)
+    lines = traces.printed(_grown(spark, sf, found=True)[1], 2)
+    plain = F.regexp_replace("line", ", Distance: [^,]*|,count[0-9]+", "")
+    return lines.select("q_id", "at", number(",count([0-9]+)").cast("int").alias("counted"), F.round(number(", Distance: ([0-9.]+)").cast("double"), 6).alias("dist"), plain.alias("line"))

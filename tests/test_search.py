@@ -177,34 +177,46 @@ def test_traces_and_trees(spark):
     found = search.knn_search(g, q, 12, 12)
     evals = {r.q_id: r.evaluations for r in found.collect()}
     assert {r.q_id: r["count"] for r in t.groupBy("q_id").count().collect()} == {k: e - 1 for k, e in evals.items()}
-    sizes = {r.q_id: r.nodes for r in traces.sizes(t).collect()}
-    assert sizes == evals
-    best = found.where("rank = 1").selectExpr("q_id", "b_id as target")
-    paths = traces.main_paths(t, best).toPandas()
-    rows = t.toPandas()
-    parent = {(r.q_id, r.dst): r.src for r in rows.itertuples()}
+    tree = search.trees(g, q, 12).cache()
+    rows = tree.toPandas()
+    want = [(r.q_id, r.dst, r.src, r.dist) for r in t.where("adopted = 1").collect()]
+    assert sorted((r.q_id, r.node, int(r.parent), r.dist) for r in rows.itertuples() if r.parent == r.parent) == sorted(want)
+    roots = rows[rows["parent"].isna()]
+    near = {r.q_id: r.dist for r in roots.itertuples()}
+    assert len(near) == q.count() and all(abs(d - ((X[i] - g.x[g.entry]) ** 2).sum()) < 1e-9 for i, d in near.items())
+    assert {r.q_id: r.nodes for r in traces.sizes(tree).collect()} == rows.groupby("q_id").size().to_dict()
+    found = {(r.q_id, r.b_id): r.rank for r in found.collect()}
+    assert {(r.q_id, r.node): r.place for r in rows.itertuples() if r.place == r.place} == found
+    assert all(r.held == 12 and r.evaluations == evals[r.q_id] and r.ecr == 12 / evals[r.q_id] for r in traces.ratios(tree).collect())
+    top = traces.marked(tree, 5).toPandas()
+    assert {(r.q_id, r.node) for r in top.itertuples() if r.chosen} == {k for k, rank in found.items() if rank <= 5} and set(top["chosen"]) == {0, 1}
+    targets = spark.createDataFrame([(r, r if r else 999) for r in near], "q_id long, target long")  # a query's own vector; the first has none
+    hit = traces.marked(tree, 5, targets).cache()
+    assert {(r.q_id, r.node) for r in hit.where("chosen = 2").collect()} == {(i, i) for i in near if i} and hit.where("chosen = 1").count() == 0
+    parent = {(r.q_id, r.node): r.parent for r in rows.itertuples()}
+    paths = traces.main_paths(hit).toPandas()
+    assert set(paths["q_id"]) == set(near) - {0}
     for q_id, p in paths.groupby("q_id"):
         p = p.sort_values("up")["node"].tolist()
-        assert all(parent[q_id, a] == b for a, b in zip(p, p[1:])) and (q_id, p[-1]) not in parent
-    inner, links = traces.inner_visits(t)
-    want = pd.Series([p for (q_id, p) in {(r.q_id, r.src) for r in rows.itertuples()}]).value_counts().to_dict()
+        assert all(parent[q_id, a] == b for a, b in zip(p, p[1:])) and np.isnan(parent[q_id, p[-1]])
+    inner, links = traces.inner_visits(tree)
+    want = pd.Series([p for (q_id, p) in {(r.q_id, int(r.parent)) for r in rows.itertuples() if r.parent == r.parent}]).value_counts().to_dict()
     assert {r.node: r.visits for r in inner.collect()} == want
     assert links.count() <= len(rows)
-    short = traces.shortcuts(traces.main_paths(t, best), longest=2)
-    assert set(short.columns) == {"src", "dst"}
+    assert set(traces.shortcuts(traces.main_paths(hit), longest=2).columns) == {"src", "dst"}
 
 
 def test_trees_in_depth_first_order(spark, tmp_path):
-    rows = [(7, 0, 0, 5, 3, 2.0, 1, 0), (7, 1, 0, 5, 9, 1.5, 1, 0), (7, 2, 0, 3, 4, 2.5, 0, 0), (7, 3, 0, 9, 3, 2.0, 1, 0), (2, 0, 0, 1, 0, 0.5, 1, 0)]
-    t = spark.createDataFrame(rows, search.TRACE)
-    want = [(2, 0, 1, None, 0, None, 1), (2, 1, 0, 1, 1, 0.5, 1), (7, 0, 5, None, 0, None, 1), (7, 1, 3, 5, 1, 2.0, 1), (7, 2, 4, 3, 2, 2.5, 0), (7, 3, 9, 5, 1, 1.5, 1)]
+    rows = [(7, 0, 0, 5, None, 4.0, 0), (7, 0, 1, 3, 5, 2.0, 1), (7, 0, 2, 9, 5, 1.5, 1), (7, 0, 3, 4, 3, 2.5, 0), (7, 0, 4, 3, 9, 2.0, 1), (2, 0, 0, 1, None, 0.75, 1), (2, 0, 1, 0, 1, 0.5, 1)]
+    t = spark.createDataFrame(rows, "q_id long, shard int, seq int, node long, parent long, dist double, chosen int")
+    want = [(2, 0, 1, None, 0, 0.75, 1), (2, 1, 0, 1, 1, 0.5, 1), (7, 0, 5, None, 0, 4.0, 0), (7, 1, 3, 5, 1, 2.0, 1), (7, 2, 4, 3, 2, 2.5, 0), (7, 3, 9, 5, 1, 1.5, 1)]
     got = traces.preorder(t)
     assert [(r.q_id, r.at, r.node, r.parent, r.depth, r.dist, r.chosen) for r in got.orderBy("q_id", "at").collect()] == want
     results.write_trees(got, str(tmp_path / "t"))
     back = results.read_trees(spark, str(tmp_path / "t"), step=1).orderBy("tree", "at").collect()
     assert [((2, 7)[r.tree], r.at, r.node, r.parent, r.depth, r.dist, r.chosen) for r in back] == want
     lines = [r.line for r in traces.printed(t, 1).where("q_id = 7").orderBy("at").collect()]
-    assert lines == ["Node ID: 5 (Depth: 0, Distance: -,chosen1,count0)", "  Node ID: 3 (Depth: 1, Distance: 2,chosen1,count1)", "  Node ID: 9 (Depth: 1, Distance: 1.5,chosen1,count2)"]
+    assert lines == ["Node ID: 5 (Depth: 0, Distance: 4,chosen0,count0)", "  Node ID: 3 (Depth: 1, Distance: 2,chosen1,count1)", "  Node ID: 9 (Depth: 1, Distance: 1.5,chosen1,count2)"]
     none = traces.preorder(t.where("q_id < 0"))
     results.write_trees(none, str(tmp_path / "e"))
     assert none.count() == 0 == results.read_trees(spark, str(tmp_path / "e")).count()

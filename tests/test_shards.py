@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hopweave.operators import build, knn, refine, search, traces, walk
 
@@ -41,13 +42,15 @@ def test_traces_have_a_tree_in_each_shard(v):
     assert all(shard[r.src] == shard[r.dst] == r.shard for r in t.collect())
     found = search.knn_search(g, q, 12, 12)
     evals = {r.q_id: r.evaluations for r in found.collect()}
-    assert {r.q_id: r.nodes for r in traces.sizes(t).collect()} == evals
+    tree = search.trees(g, q, 12).cache()
+    assert tree.where("parent is null").groupBy("q_id").count().where("count <> 3").count() == 0
+    assert {r.q_id: r.nodes for r in traces.sizes(tree).collect()} == {r.q_id: r.n + 3 for r in t.where("adopted = 1").groupBy("q_id").agg(F.count("*").alias("n")).collect()}
     assert {r.q_id: r["count"] for r in t.groupBy("q_id").count().collect()} == {k: e - 3 for k, e in evals.items()}
     entries = {r.id for r in nodes.where("is_entry").collect()}
     best = found.where("rank = 1").selectExpr("q_id", "b_id as target")
-    for _, p in traces.main_paths(t, best).toPandas().groupby("q_id"):
+    for _, p in traces.main_paths(traces.marked(tree, 1, best)).toPandas().groupby("q_id"):
         assert p.sort_values("up")["node"].iloc[-1] in entries
-    assert all(shard[r.src] == shard[r.dst] for r in traces.local_links(t, edges, jumps=2).collect())
+    assert all(shard[r.src] == shard[r.dst] for r in traces.local_links(tree, edges, jumps=2).collect())
     for r in walk.beam_rounds(edges, v, q, nodes.where("is_entry").selectExpr("id as vec_id"), 12).collect():
         assert [f.node for f in r.found] == [b.b_id for b in found.where(f"q_id = {r.q_id}").orderBy("rank").collect()] and r.evaluations == evals[r.q_id]
 
