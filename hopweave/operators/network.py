@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..plans.iterate import checkpointed
 
-#: Bytes of adjacency that betweenness() broadcasts at most.
-BROADCAST_BYTES = 256 << 20
+#: Pairs of a source and a node it reaches that a batch of betweenness() holds at most.
+STATES = 1 << 33
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -136,59 +131,57 @@ def effective_size(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(n.join(t, "src", "left").select(F.col("src").alias("id"), size.alias("size")), "id", "left").fillna(0.0, ["size"])
 
 
-def adjacency(edges: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids and out-lists on the driver, after a check of their size."""
-    n, m = nodes.count(), edges.count()
-    if 8 * (n + m) > BROADCAST_BYTES:
-        raise ValueError(f"{n} nodes and {m} edges are too many to broadcast; sample sources or use hops()")
-    ids = np.sort(nodes.select("id").toPandas()["id"].to_numpy())
-    e = edges.select("src", "dst").distinct().orderBy("src", "dst").toPandas()
-    src, dst = np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"])
-    cut = np.searchsorted(src, np.arange(n + 1))
-    return ids, [dst[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-
-def brandes(out: list[np.ndarray], source: int) -> np.ndarray:
-    """Dependencies of one source on every node."""
-    n = len(out)
-    sigma, dist, parents, order = np.zeros(n), np.full(n, -1), [[] for _ in range(n)], []
-    sigma[source], dist[source] = 1, 0
-    queue = deque([source])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in out[v].tolist():
-            if dist[w] < 0:
-                dist[w] = dist[v] + 1
-                queue.append(w)
-            if dist[w] == dist[v] + 1:
-                sigma[w] += sigma[v]
-                parents[w].append(v)
-    delta = np.zeros(n)
-    for w in reversed(order):
-        for v in parents[w]:
-            delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-    delta[source] = 0
-    return delta
-
-
-def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, betweenness: directed, over ordered pairs, divided by (n - 1)(n - 2); a source is a unit of work."""
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(adjacency(edges, nodes))
-    n = len(shared.value[0])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, out = shared.value
-        total = np.zeros(len(ids))
-        for b in batches:
-            for s in np.searchsorted(ids, b.column(0).to_numpy()).tolist():
-                total += brandes(out, s)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "part"])
-
-    parts = nodes.select(F.col("id").cast("long").alias("id")).repartition(spark.sparkContext.defaultParallelism, "id").mapInArrow(run, "id long, part double")
-    scale = float(max(1, (n - 1) * (n - 2)))
-    return parts.groupBy("id").agg((F.sum("part") / scale).alias("betweenness"))
+def path_counts(edges: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """A table a hop (from 0): source, id, paths, the number of shortest paths from each source (sources: id)."""
+    e = checkpointed(edges.select("src", "dst").distinct())
+    front = checkpointed(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")))
+    seen, levels = front.select("source", "id"), []
+    while not front.isEmpty():
+        levels.append(front)
+        new = front.join(e.withColumnRenamed("src", "id"), "id").groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        front = checkpointed(new.join(seen, ["source", "id"], "left_anti"))
+        seen = checkpointed(seen.unionByName(front.select("source", "id")))
+    return levels
+
+
+def dependencies(edges: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """id, part: what the sources of path_counts depend on each node for; a source does not count for itself."""
+    e = checkpointed(edges.select(F.col("src").alias("up"), F.col("dst").alias("id")).distinct())
+    out, below = None, None
+    for level in reversed(levels[1:]):
+        if below is None:
+            now = level.withColumn("part", F.lit(0.0))
+        else:
+            each = below.join(e, "id").select("source", F.col("up").alias("id"), ((1 + F.col("part")) / F.col("paths")).alias("share"))
+            now = level.join(each.groupBy("source", "id").agg(F.sum("share").alias("share")), ["source", "id"], "left")
+            now = now.select("source", "id", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("part"))
+        below = checkpointed(now)
+        own = below.groupBy("id").agg(F.sum("part").alias("part"))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        return levels[0].select("id", F.lit(0.0).alias("part")) if levels else e.select("id", F.lit(0.0).alias("part")).limit(0)
+    return checkpointed(out.groupBy("id").agg(F.sum("part").alias("part")))
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, share: float = 1.0) -> DataFrame:
+    """id, betweenness: directed, over ordered pairs, divided by (n - 1)(n - 2), from counts of shortest paths level by level.
+
+    Sources go in batches whose states (a source and a node it reaches) are at most STATES, each by as many rounds of
+    joins as the graph is deep, forward for counts and back for dependencies. share below 1 takes sources by a hash of
+    their id and scales up, as an estimate for graphs where every source is too much.
+    """
+    own = nodes.select(F.col("id").cast("long").alias("id")).distinct()
+    n = own.count()
+    chosen = own if share >= 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sources = chosen.count()
+    batches = max(1, -(-sources * n // STATES))
+    total = None
+    for i in range(batches):
+        batch = chosen.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(batches)) == i)
+        part = dependencies(edges, path_counts(edges, batch))
+        total = part if total is None else checkpointed(total.unionByName(part).groupBy("id").agg(F.sum("part").alias("part")))
+    scale = n / max(1, sources) / max(1, (n - 1) * (n - 2))
+    return own.join(total, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

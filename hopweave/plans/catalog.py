@@ -489,10 +489,16 @@ def adjacency_truncate(spark, sf):
     return network.adjacency_truncated(e, 4).select("src", "dst", "pos")
 
 
-@query()
+@query(
+    f"WITH {GRAPH.replace('v AS', 'RECURSIVE v AS', 1)}, h AS (SELECT vec_id AS source, vec_id AS id, 0 AS hop FROM embeddings UNION SELECT source, dst, hop + 1 FROM h JOIN g ON src = id WHERE hop < 30), "
+    "hh AS MATERIALIZED (SELECT source, id, min(hop) AS hop FROM h GROUP BY 1, 2), sg AS (SELECT vec_id AS source, vec_id AS id, 0 AS hop, 1.0::DOUBLE AS n FROM embeddings "
+    "UNION ALL SELECT sg.source, g.dst, sg.hop + 1, sum(n) FROM sg JOIN g ON src = sg.id JOIN hh ON hh.source = sg.source AND hh.id = g.dst AND hh.hop = sg.hop + 1 GROUP BY 1, 2, 3), sp AS MATERIALIZED (SELECT * FROM sg WHERE hop > 0), "
+    "b AS (SELECT a.id, sum(a.n * c.n / w.n) AS b FROM sp a JOIN sp c ON c.source = a.id JOIN sp w ON w.source = a.source AND w.id = c.id AND w.hop = a.hop + c.hop GROUP BY 1) "
+    "SELECT vec_id AS id, round(coalesce(b, 0) / ((SELECT count(*) FROM v) - 1) / ((SELECT count(*) FROM v) - 2), 9) AS betweenness FROM embeddings LEFT JOIN b ON b.id = vec_id"
+)
 def betweenness(spark, sf):
     _, e, n = _graph(spark, sf)
-    return network.betweenness(e, n)
+    return _rounded(network.betweenness(e, n), "betweenness", places=9)
 
 
 def _fold(alpha: float | None, most: int) -> str:

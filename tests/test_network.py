@@ -24,7 +24,7 @@ def test_star_and_line(spark):
     assert s.diameter == 3 and s.average_path == pytest.approx(10 / 6)
 
 
-def test_betweenness_by_all_paths(spark):
+def test_betweenness_by_all_paths(spark, monkeypatch):
     rng = np.random.default_rng(0)
     n = 12
     a = rng.random((n, n)) < 0.2
@@ -44,6 +44,12 @@ def test_betweenness_by_all_paths(spark):
     want = [sum(count[s, v] * count[v, t] / count[s, t] for s in range(n) for t in range(n) if len({s, t, v}) == 3 and count[s, t] and dist[s, v] + dist[v, t] == dist[s, t] < 99) / ((n - 1) * (n - 2)) for v in range(n)]
     got = {r.id: r.betweenness for r in network.betweenness(frame(spark, pairs), ids(spark, n)).collect()}
     assert [got[i] for i in range(n)] == pytest.approx(want)
+    monkeypatch.setattr(network, "STATES", 40)  # sources in several batches
+    again = {r.id: r.betweenness for r in network.betweenness(frame(spark, pairs), ids(spark, n)).collect()}
+    assert [again[i] for i in range(n)] == pytest.approx(want)
+    part = network.betweenness(frame(spark, pairs), ids(spark, n), share=0.5).collect()
+    assert len(part) == n and all(r.betweenness >= 0 for r in part)
+    assert [r.betweenness for r in network.betweenness(frame(spark, pairs).limit(0), ids(spark, 3)).collect()] == [0, 0, 0]
 
 
 def test_components_of_a_long_chain(spark):
