@@ -89,6 +89,36 @@ def met(rows: DataFrame, queries: DataFrame, each: Each, schema: str, closing: C
     return left.groupBy("_a", "_g").cogroup(right.groupBy("r_a", "r_g")).applyInArrow(cell, schema)
 
 
+def met_by_key(rows: DataFrame, queries: DataFrame, key: str, each: Each, schema: str, closing: Callable[[pa.Table], pa.Table], side: int = 1 << 14) -> DataFrame:
+    """met() where a query meets the rows of equal `key` alone; a key's rows and queries beyond `side` make a grid of their own.
+
+    queries has a row for each of a query's keys. Null keys meet nothing.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    empty = pa.schema([(n, {"long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for n, c in zip(names, schema.split(", "), strict=True)]).empty_table()
+
+    def sized(df: DataFrame, n: str) -> DataFrame:
+        return df.groupBy(key).agg(F.ceil(F.count("*") / side).alias(n))
+
+    parts = sized(rows, "_r").join(sized(queries, "_q"), key)  # a row for each key
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n))
+    left = queries.select("vec_id", "embedding", key).join(parts, key).withColumn("_a", dealt("_q")).withColumn("_g", every("_r")).drop("_q", "_r")
+    right = rows.select("vec_id", "embedding", key).join(parts, key).withColumn("_g", dealt("_r")).withColumn("_a", every("_q")).drop("_q", "_r")
+    right = right.select([F.col(c).alias(f"r{c}") for c in right.columns])
+
+    def cell(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return empty
+        out = []
+        for b in y.rename_columns([c[1:] for c in y.column_names]).combine_chunks().to_batches():
+            for part in _pieces(x.column("vec_id").to_numpy(), matrix(x.column("embedding")), b):
+                out.append(each(*part))
+        return closing(pa.Table.from_batches(out))
+
+    return left.groupBy(key, "_a", "_g").cogroup(right.groupBy(f"r{key}", "r_a", "r_g")).applyInArrow(cell, schema)
+
+
 def nearest_of(table: pa.Table, k: int, by: str = "q_id", then: str = "b_id") -> pa.Table:
     """The k rows of each query of least (dist, row)."""
     q, b, d = (table.column(c).to_numpy() for c in (by, then, "dist"))

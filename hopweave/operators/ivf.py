@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import metrics
 from ..plans.iterate import checkpointed
 from . import knn, vectors
 
@@ -38,11 +37,8 @@ def list_sizes(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def probe(base: DataFrame, assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """q_id, rank, b_id, dist among the lists of each query's nearest centroids; ids are the rows' own."""
-    asked = vectors._nearest(queries, centroids, probes).select(F.col("vec_id").alias("q_id"), "cid")
-    q = asked.join(queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("_q")), "q_id")
-    lists = assigned.select("vec_id", "cid").join(base, "vec_id").select("cid", F.col("vec_id").alias("b_id"), F.col("embedding").alias("_b"))
-    pairs = lists.join(q, "cid").select("q_id", "b_id", metrics.squared_l2(F.col("_q"), F.col("_b")).alias("dist"))
-    return knn.ranked(pairs, k)
+    asked = vectors._nearest(queries, centroids, probes).select("vec_id", "cid")
+    return knn.exact_by_key(base.join(assigned.select("vec_id", "cid"), "vec_id"), queries.join(asked, "vec_id"), "cid", k)
 
 
 def index_size(assigned: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import metrics
-from .grid import BLOCK_BYTES, matrix, met, nearest_of
+from .grid import BLOCK_BYTES, matrix, met, met_by_key, nearest_of
 
 SCHEMA = "q_id long, b_id long, dist double"
 
@@ -47,15 +47,20 @@ _PAIRED: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
 }
 
 
-def _compared(base: DataFrame, queries: DataFrame, keep: Callable, closing: Callable | None = None) -> DataFrame:
-    """keep(query ids, queries, base ids, base) -> (query row, base row, distance) of the pairs that stay, in blocks (see grid)."""
+def _pairs(keep: Callable) -> Callable:
+    """grid's form of keep(query ids, queries, base ids, base) -> (query row, base row, distance) of the pairs that stay."""
 
     def each(ids: np.ndarray, q: np.ndarray, b: pa.RecordBatch) -> pa.RecordBatch:
         own = b.column("vec_id").to_numpy()
         i, j, dist = keep(ids, q, own, matrix(b.column("embedding")))
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(dist)], ["q_id", "b_id", "dist"])
 
-    return met(base.select("vec_id", "embedding"), queries, each, SCHEMA, closing)
+    return each
+
+
+def _compared(base: DataFrame, queries: DataFrame, keep: Callable, closing: Callable | None = None) -> DataFrame:
+    """The pairs that keep() lets stay, in blocks (see grid)."""
+    return met(base.select("vec_id", "embedding"), queries, _pairs(keep), SCHEMA, closing)
 
 
 def ranked(pairs: DataFrame, k: int, by: str = "q_id") -> DataFrame:
@@ -69,6 +74,17 @@ def exact(base: DataFrame, queries: DataFrame, k: int, metric: str = "squared_l2
 
     Null embeddings take no part. Fewer than k rows give fewer neighbours. exclude_self drops pairs of equal ids.
     """
+    return ranked(_compared(base, queries, shortlist(k, metric, exclude_self), partial(nearest_of, k=k)), k)
+
+
+def exact_by_key(base: DataFrame, queries: DataFrame, key: str, k: int, metric: str = "squared_l2") -> DataFrame:
+    """exact() among the rows of a query's keys: base (vec_id, embedding, key), queries a row for each of their keys."""
+    rows, asked = (df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", key).where("embedding is not null") for df in (base, queries))
+    return ranked(met_by_key(rows, asked, key, _pairs(shortlist(k, metric)), SCHEMA, partial(nearest_of, k=k)), k)
+
+
+def shortlist(k: int, metric: str, exclude_self: bool = False) -> Callable:
+    """keep() of the k nearest of a block, measured directly."""
     if metric not in _ALL:
         raise ValueError(f"unknown metric {metric!r}; one of {', '.join(_ALL)}")
     near, paired = _ALL[metric], _PAIRED[metric]
@@ -86,7 +102,7 @@ def exact(base: DataFrame, queries: DataFrame, k: int, metric: str = "squared_l2
         i, j = i[good], j[good]
         return i, j, paired(q[i], x[j])
 
-    return ranked(_compared(base, queries, keep, partial(nearest_of, k=k)), k)
+    return keep
 
 
 def within(base: DataFrame, queries: DataFrame, below: float, metric: str = "squared_l2", exclude_self: bool = False) -> DataFrame:
@@ -106,11 +122,8 @@ def within(base: DataFrame, queries: DataFrame, below: float, metric: str = "squ
 
 
 def filtered(base: DataFrame, queries: DataFrame, tag: str, k: int, metric: str = "squared_l2") -> DataFrame:
-    """The k nearest among rows with the query's tag: an equi-join on the tag, so Catalyst deals with placement and skew."""
-    q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("_q"), F.col(tag).alias("_tag"))
-    b = base.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("_b"), F.col(tag).alias("_tag"))
-    pairs = b.join(q, "_tag").select("q_id", "b_id", metrics.metric(metric)(F.col("_q"), F.col("_b")).alias("dist"))
-    return ranked(pairs, k)
+    """The k nearest among rows with the query's tag; a tag's rows and queries meet in bounded blocks, however many they are."""
+    return exact_by_key(base, queries, tag, k, metric)
 
 
 def set_pairs(base: DataFrame, queries: DataFrame) -> DataFrame:

@@ -307,12 +307,12 @@ def _probe_sql(probes: int) -> str:
     )
 
 
-#: With 4 of 16 probes the index loses many neighbours, which the queries on misses show; 12 keep its recall above 0.9.
-_PROBE, _WIDE = _probe_sql(4), _probe_sql(12)
+#: 12 of 16 probes keep the index's recall above 0.9 on these tables, whose vectors hardly cluster.
+_PROBE, _WIDE = _probe_sql(12), _probe_sql(14)
 _TRUTH = f"x AS MATERIALIZED ({near(d2('q.e', 'b.e'), 10)})"
 
 
-def _probed(spark, sf, probes: int = 4):
+def _probed(spark, sf, probes: int = 12):
     base = _base(spark, sf)
     c = ivf.train(base, 16, 3)
     found = ivf.probe(base, ivf.assign(base, c), c, _asked(base), 10, probes)
@@ -326,7 +326,7 @@ def ivf_probe_search(spark, sf):
 
 @query(f"WITH {_WIDE} SELECT q_id, rank, b_id, round(dist, 6) AS dist FROM f")
 def ivf_probe_search_wide(spark, sf):
-    return _rounded(_probed(spark, sf, 12)[1], "dist")
+    return _rounded(_probed(spark, sf, 14)[1], "dist")
 
 
 @query(f"WITH {V}, {_unrolled(3)} SELECT (SELECT count(*) * 4 FROM a3)::BIGINT + (SELECT sum(len(e) * 4 + 8) FROM c3)::BIGINT AS bytes")
@@ -344,7 +344,7 @@ def recall_at_k(spark, sf):
 
 @query(f"WITH {_WIDE}, {_TRUTH} SELECT (SELECT count(*) FROM f JOIN x USING (q_id, b_id)) / ((SELECT count(DISTINCT q_id) FROM x) * 10.0::DOUBLE) AS recall")
 def recall_at_k_wide(spark, sf):
-    _, found, truth = _probed(spark, sf, 12)
+    _, found, truth = _probed(spark, sf, 14)
     return knn.recall(found, truth, 10)
 
 

@@ -47,3 +47,17 @@ def test_plan_does_not_grow_with_the_cells(v, monkeypatch):
 
 def test_empty(v):
     assert knn.graph(v.limit(0), 3).count() == 0
+
+
+def test_hot_keys_make_grids_of_their_own(spark, v):
+    from functools import partial
+
+    rows = v.where("vec_id < 500").selectExpr("vec_id", "embedding", "if(vec_id < 120, 1, vec_id % 3 + 2) as key")
+    asked = rows.where("vec_id % 3 = 0").union(rows.where("vec_id % 3 = 0").selectExpr("vec_id", "embedding", "7 as key"))
+    whole = knn.exact_by_key(rows, asked, "key", 4)
+    small = grid.met_by_key(rows, asked, "key", knn._pairs(knn.shortlist(4, "squared_l2")), knn.SCHEMA, partial(grid.nearest_of, k=4), side=10)
+    key = {r.vec_id: r.key for r in rows.collect()}
+    d = ((X[:, None] - X[None]) ** 2).sum(axis=2)
+    brute = [(i, j, p) for i in range(0, 150, 3) for p, j in enumerate(sorted((j for j in range(150) if key[j] == key[i]), key=lambda j: (d[i, j], j))[:4], 1)]
+    for got in (whole, knn.ranked(small, 4)):
+        assert sorted((r.q_id, r.b_id, r["rank"]) for r in got.collect()) == sorted(brute)
