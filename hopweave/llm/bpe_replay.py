@@ -124,7 +124,8 @@ def encoded(docs: DataFrame, ranks: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (u32, little endian).
 
     Every row gives one row; null and empty texts have no ids (both digests are of nothing). No special tokens: their
-    strings in a text are text. Long texts are encoded whole.
+    strings in a text are text. Long texts are encoded whole. An empty table gives an empty one; other columns, whatever
+    their names, play no part.
     """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 

@@ -94,6 +94,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048)
 
     Null and empty texts have end_id alone; a null doc_id stays null; every row is a document of its own. Rows with a
     sequence_id make up one sequence, gapless from offset 0. An empty table gives no rows. Long texts are cut as others.
+    Columns but doc_id and text, whatever their names, play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -237,7 +237,8 @@ def identified(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the language's share of the total probability): a row for each row of docs.
 
     und and score 0 for null texts, texts without a letter, and where no language could be learned. Ties go to the
-    first language in alphabetical order. Whole texts are scored.
+    first language in alphabetical order. Whole texts are scored. Equal rows share one result and stand in the sample
+    together. An empty table gives an empty one; columns but doc_id, text and lang, whatever their names, play no part.
     """
     pieces = pieces_of(vocabulary)
     languages, prob = learn(docs, pieces)

@@ -115,7 +115,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
     Linked: cosine >= THRESHOLD, in double precision. Vectors that are null, empty or zero, hold null or non-finite
     components, differ in length, or have no vec_id link with nothing (without a vec_id: component null, kept).
-    Repeated rows and equal vectors link with each other.
+    Repeated rows and equal vectors link with each other. An empty table gives an empty one; other columns, whatever their
+    names, play no part.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))

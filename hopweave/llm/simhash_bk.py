@@ -143,6 +143,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Every row of docs gives one row, repeated rows and ids too. Null text: fingerprint zero, linked like any other.
     A row with a null doc_id gets its fingerprint's component, or null if only such rows have it. Empty table: no rows.
+    Long texts are fingerprinted whole; other columns, whatever their names, play no part.
     """
     prints = written(keyed(docs).mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")

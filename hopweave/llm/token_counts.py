@@ -130,7 +130,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit); tokenizer: a byte-level BPE .json file.
 
     Every row gives one row. Null and empty texts: no bytes, no tokens. Special strings inside texts count as their
-    token. Long texts are counted whole.
+    token. Long texts are counted whole. An empty table gives an empty one; other columns, whatever their names, play no
+    part.
     """
     names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
 

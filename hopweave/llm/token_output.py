@@ -187,7 +187,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int) ->
     """Encode every whole text (null: empty), append end_id to each, and write a token file at path.
 
     Documents are in ascending doc_id order (nulls first; rows with equal ids by their text's hash). Every row of docs,
-    repeated ones too, is a document. An empty table gives a file without blocks.
+    repeated ones too, is a document. An empty table gives a file without blocks. Columns but doc_id
+    and text, whatever their names, play no part.
     """
     spark = docs.sparkSession
     rows, parts = keyed(docs), 2 * shuffle_width(spark)
