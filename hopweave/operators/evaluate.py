@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.metrics import interpolated
+from ..plans.iterate import checkpointed
 
 #: Recalls that runs are compared at (fixed values).
 LEVELS = (0.6, 0.7, 0.8, 0.9, 0.92, 0.94, 0.96, 0.97, 0.98, 0.99)
 
 
 def frontier(points: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(recall, qps) points that no point of higher (or equal, earlier) recall matches or beats in qps."""
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("recall"), F.desc("qps"))
-    best = F.max("qps").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return points.withColumn("_best", best).where(F.col("_best").isNull() | (F.col("qps") > F.col("_best"))).drop("_best")
+    """(recall, qps) points that no point of higher (or equal, earlier) recall matches or beats in qps; `by` has no nulls.
+
+    Points are dealt by ranges of their order, so no task holds all of them: what goes before a range is the greatest qps
+    of the ranges before, and within it a running maximum.
+    """
+    keys, order = by or [], [F.desc("recall"), F.desc("qps")]
+    rows = checkpointed(points.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    tops = rows.groupBy(*keys, "_range").agg(F.max("qps").alias("_top")).withColumn("_ahead", F.max("_top").over(ahead)).drop("_top")
+    own = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    best = F.greatest(F.max("qps").over(own), F.col("_ahead"))  # null where nothing goes before
+    met = rows.join(F.broadcast(tops), [*keys, "_range"]).withColumn("_best", best)
+    return met.where(F.col("_best").isNull() | (F.col("qps") > F.col("_best"))).select(*points.columns)
 
 
 def at_recalls(points: DataFrame, by: list[str], levels: tuple[float, ...] = LEVELS) -> DataFrame:

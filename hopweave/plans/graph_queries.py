@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import knn, refine, search, traces
+from ..operators import evaluate, knn, refine, search, traces
 from ..operators.vectors import medoid
 from ..sources import results
-from .catalog import _TRUTH, _asked, _rounded, _seeds, _walk_sql, _walked, query
+from .catalog import _TRUTH, ORACLES, _asked, _rounded, _seeds, _walk_sql, _walked, query
 from .iterate import checkpointed, new_path
 
 # SQL: the walk's tables without its turns, then lists and distances by place in ascending order of ids
@@ -153,6 +153,31 @@ def graph_recall_sweep(spark, sf):
     return _rounded(spark.createDataFrame(refine.sweep(g, _asked(base), truth, 10, range(10, 161, 50), 0.995), "k int, ef int, recall double, evaluations double"), "recall", "evaluations")
 
 
+# a sweep's recalls and costs as the points of a frontier; the speed is how many queries a million comparisons allow
+
+_SPEEDS = f"{_recalls_sql('10, 20, 40, 80, 160')}, pt AS (SELECT 10 AS k, recall, 1000000 / evaluations AS qps FROM rc), fr AS MATERIALIZED (SELECT k, recall, qps FROM (SELECT *, max(qps) OVER (ORDER BY recall DESC, qps DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM pt) WHERE best IS NULL OR qps > best)"
+
+
+def _speeds(spark, sf):
+    base, _, g = _opened(spark, sf)
+    truth = checkpointed(knn.exact(base, _asked(base), 10))
+    rows = refine.sweep(g, _asked(base), truth, 10, [10, 20, 40, 80, 160])
+    return spark.createDataFrame([(r["k"], r["recall"], 1e6 / r["evaluations"]) for r in rows], "k int, recall double, qps double")
+
+
+@query(f"WITH {_SPEEDS} SELECT k, round(recall, 6) AS recall, round(qps, 6) AS qps FROM fr")
+def graph_frontier(spark, sf):
+    return _rounded(evaluate.frontier(_speeds(spark, sf)), "recall", "qps")
+
+
+@query(
+    f"WITH {_SPEEDS}, nx AS (SELECT *, coalesce(lead(recall) OVER o, recall) AS r1, coalesce(lead(qps) OVER o, qps) AS q1 FROM fr WINDOW o AS (ORDER BY recall, qps)) "
+    f"SELECT k, level, round(coalesce(max(CASE WHEN level >= recall AND level <= r1 THEN CASE WHEN r1 = recall THEN qps ELSE qps + (q1 - qps) * (level - recall) / (r1 - recall) END END), 0), 6) AS qps FROM nx, (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in evaluate.LEVELS)}]) AS level) GROUP BY 1, 2"
+)
+def graph_speed_at_recall(spark, sf):
+    return _rounded(evaluate.at_recalls(evaluate.frontier(_speeds(spark, sf), ["k"]), ["k"]), "qps")
+
+
 _TUNED = "co AS (SELECT coalesce(min(ef), 200) AS c FROM rc WHERE ef IN (10, 50, 90, 130, 170) AND recall >= 0.9), pick AS (SELECT coalesce(min(ef), (SELECT c FROM co)) AS ef FROM rc WHERE recall >= 0.9 AND ef > (SELECT c FROM co) - 40 AND ef < (SELECT c FROM co) AND (SELECT c FROM co) IN (50, 90, 130, 170))"
 
 
@@ -179,6 +204,28 @@ def graph_edge_impact(spark, sf):
     return _rounded(impact, "comparison_diff", "recall_diff").select("src", "dst", "seeds", "comparison_diff", "recall_diff")
 
 
+_IMPACTS = ORACLES["graph_edge_impact"].replace("round(avg(h0.e - h1.e), 6) AS comparison_diff, round(avg(h0.r - h1.r), 6) AS recall_diff", "abs(avg((h0.e - h1.e) / h0.e)) AS x").rpartition(" SELECT a.vec_id")
+
+
+@query(
+    f"{_IMPACTS[0]}, im AS (SELECT a.vec_id{_IMPACTS[2]}) SELECT round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(max(x), 6) AS max, "
+    "count_if(x > 0.01)::BIGINT AS over_1, count_if(x > 0.015)::BIGINT AS over_1_5, count_if(x > 0.02)::BIGINT AS over_2, count_if(x > 0.05)::BIGINT AS over_5 FROM im"
+)
+def graph_impact_counts(spark, sf):
+    """How many edges change a search by over so many percent when they are not followed."""
+    base, _, g = _opened(spark, sf)
+    impact = refine.edge_impact(g, search.edge_seeds(search.traces(g, _asked(base), 16)), base, knn.exact(base, _asked(base), 11), 10, 16)
+    return _rounded(refine.impact_summary(impact), "mean", "median", "max")
+
+
+@query(f"WITH {_traced_sql(16)} SELECT DISTINCT src, dst FROM tr WHERE adopted = 1 AND (((src * 1000003 + dst)::HUGEINT * 2654435761) % 4294967296) < 858993459")
+def graph_edge_sample(spark, sf):
+    """A keyed fifth of the edges that searches adopted."""
+    base, _, g = _opened(spark, sf)
+    met = search.edge_seeds(search.traces(g, _asked(base), 16)).select("src", "dst").distinct()
+    return refine.sampled_edges(met, 0.2)
+
+
 # trees of traces: adopted nodes, marked 1 among the ten nearest found, or 2 if the nearest found is the nearest of all
 
 _ENDS = "pl AS MATERIALIZED (SELECT q_id, ix.vec_id AS node, row_number() OVER (PARTITION BY q_id ORDER BY o.d, o.i) AS place, n AS evaluations FROM (SELECT q_id, unnest(top) AS o, len(seen)::BIGINT AS n FROM b_end) JOIN ix ON ix.i = o.i)"
